@@ -349,6 +349,7 @@ def _q_of(sin_lat):
 
 
 _Q_POLE = _q_of(1.0)
+AREA_FACTOR = codes.AUTHALIC_RADIUS_M**2
 
 
 def sin_authalic(lat: Column) -> Column:
@@ -358,8 +359,7 @@ def sin_authalic(lat: Column) -> Column:
 
 def box_area_m2(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
     """Ellipsoidal area of a lon/lat box, exact."""
-    r2 = codes.AUTHALIC_RADIUS_M**2
-    return r2 * F.radians(maxx - minx) * (sin_authalic(maxy) - sin_authalic(miny))
+    return AREA_FACTOR * F.radians(maxx - minx) * (sin_authalic(maxy) - sin_authalic(miny))
 
 
 def _ring_area(p: Column) -> Column:
@@ -371,7 +371,7 @@ def _ring_area(p: Column) -> Column:
         + F.radians(_at(xs, i) - _at(xs, i - 1))
         * (sin_authalic(_at(ys, i - 1)) + sin_authalic(_at(ys, i))),
     )
-    return F.abs(total) * (codes.AUTHALIC_RADIUS_M**2) / 2.0
+    return F.abs(total) * AREA_FACTOR / 2.0
 
 
 def area_m2(geom: Column) -> Column:
