@@ -133,7 +133,7 @@ def grid(spark, sf_dir) -> DataFrame:
     o = observations(spark, sf_dir)
     i, j = (F.col("station_id") % 15).cast("int"), (F.col("station_id") / 15).cast("int")
     kinds = F.create_map(*[F.lit(v) for v in ("click", "tasmin", "view", "tasmax", "purchase", "pr")])
-    scaled = F.when(F.col("variable") == "purchase", F.col("value") / 86400.0).otherwise(F.col("value") / 50.0 + 270.0)
+    scaled = F.when(F.col("variable") == "purchase", F.col("value") / 86400.0).otherwise(F.col("value") / 47.0 + 270.0)
     return o.filter(F.col("variable").isin("click", "view", "purchase")).select(
         F.lit("era5_land").alias("dataset"), F.element_at(kinds, F.col("variable")).alias("variable"),
         F.col("day").alias("time"), i.alias("i"), j.alias("j"), (45.0 + i * 0.25).alias("lat"), (-72.0 + j * 0.25).alias("lon"),
@@ -145,7 +145,7 @@ GRID = OBSERVATIONS + """, grid AS (SELECT 'era5_land' AS dataset,
   CASE variable WHEN 'click' THEN 'tasmin' WHEN 'view' THEN 'tasmax' ELSE 'pr' END AS variable, day AS time,
   CAST(station_id % 15 AS INTEGER) AS i, CAST(station_id // 15 AS INTEGER) AS j,
   45.0::DOUBLE + (station_id % 15) * 0.25::DOUBLE AS lat, -72.0::DOUBLE + (station_id // 15) * 0.25::DOUBLE AS lon,
-  CASE WHEN variable='purchase' THEN value/86400.0::DOUBLE ELSE value/50.0::DOUBLE + 270.0::DOUBLE END AS value
+  CASE WHEN variable='purchase' THEN value/86400.0::DOUBLE ELSE value/47.0::DOUBLE + 270.0::DOUBLE END AS value
   FROM observations WHERE variable IN ('click','view','purchase'))"""
 
 

@@ -8,9 +8,17 @@ from pyspark.sql import Column, functions as F
 
 from loamframe import codes
 
-# fixed values: Latin letters with a diacritic and their plain letter
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+def _fold_table() -> tuple[str, str]:
+    """Latin letters whose compatibility decomposition leaves exactly one ASCII character."""
+    pairs = []
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]:
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            pairs.append((chr(code), plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _fold_table()
 
 
 def ascii_fold(text: Column) -> Column:

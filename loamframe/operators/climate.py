@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loamframe.functions import geometry as geo
 from loamframe.functions.values import convert_units, finite
-from loamframe.operators import ordered, skew
+from loamframe.operators import ordered
+from loamframe.session import durable
 
 
 def time_slice(df: DataFrame, start, end, time: str = "time") -> DataFrame:
@@ -114,13 +115,12 @@ def timeseries(grid: DataFrame, requests: DataFrame, registry: DataFrame, aggreg
     """
     if aggregation not in ("daily", "monthly"):
         raise ValueError("aggregation must be daily or monthly")
-    asks = requests.withColumn("_polygon", F.col("polygon")).drop("_polygon")
-    locations = asks.dropDuplicates(["request_id"]).select("request_id", "minx", "miny", "maxx", "maxy", "polygon")
-    cell_list = cells_of_requests(locations, grid.select("i", "j", "lat", "lon").distinct())
+    locations = requests.dropDuplicates(["request_id"]).select("request_id", "minx", "miny", "maxx", "maxy", "polygon")
+    cell_list = cells_of_requests(locations, durable(grid.select("i", "j", "lat", "lon").distinct()))
     keys = ["dataset", "variable"] + [c for c in ("scenario", "model") if c in grid.columns and c in requests.columns]
-    wanted = asks.select("request_id", *keys, "start_date", "end_date").join(cell_list, "request_id")
-    small = skew.small(wanted)
-    values = grid.join(F.broadcast(wanted) if small else wanted, [*keys, "i", "j"]).filter(
+    # written out, so Spark knows its true size and broadcasts it only when it is small
+    wanted = durable(requests.select("request_id", *keys, "start_date", "end_date").join(cell_list, "request_id"))
+    values = grid.join(wanted, [*keys, "i", "j"]).filter(
         F.col("time").between(F.col("start_date").cast("date"), F.col("end_date").cast("date"))
     )
     series_keys = ["request_id", *keys]

@@ -55,6 +55,11 @@ def top_depth(horizons: DataFrame, soil: str, order: list[Column], bottom: str,
     return lagged.withColumn(name, F.when(F.col("_first"), F.lit(0.0)).otherwise(F.col(name))).drop("_first")
 
 
+def _depth_order() -> list[Column]:
+    """By depth, unknown depth last, then by name and value so that the order is total."""
+    return [F.coalesce(F.col("depth_bottom_cm"), F.lit(float("inf"))), F.col("horizon"), F.col("g_cm3")]
+
+
 def horizon_rows(primary: DataFrame, fallback: DataFrame, soil: str = "code_sol",
                  names: tuple[str, str] = ("eessaq", "inventaire_1990"), hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
     """Ordered horizons per soil, long form: one source per soil, top depths for the primary only.
@@ -65,7 +70,7 @@ def horizon_rows(primary: DataFrame, fallback: DataFrame, soil: str = "code_sol"
     second = fallback.filter(F.col("g_cm3").isNotNull()).withColumn("depth_bottom_cm", F.lit(None).cast("double"))
     rows = prefer_primary(first.select(soil, "horizon", "depth_bottom_cm", "g_cm3"),
                           second.select(soil, "horizon", "depth_bottom_cm", "g_cm3"), soil, names)
-    order = [F.coalesce(F.col("depth_bottom_cm"), F.lit(float("inf"))), F.col("horizon")]
+    order = _depth_order()
     deep = top_depth(rows, soil, order, "depth_bottom_cm", hot_rows=hot_rows)
     return deep.select(
         soil, "source", "horizon",
@@ -76,8 +81,7 @@ def horizon_rows(primary: DataFrame, fallback: DataFrame, soil: str = "code_sol"
 
 def horizon_profile(rows: DataFrame, soil: str = "code_sol", chunk_rows: int = 10_000) -> DataFrame:
     """Horizon arrays per soil, in depth order (unknown depth last)."""
-    order = [F.coalesce(F.col("depth_bottom_cm"), F.lit(float("inf"))), F.col("horizon")]
-    return ordered.series_arrays(rows, [soil, "source"], order, ["horizon", "depth_top_cm", "depth_bottom_cm", "g_cm3"], chunk_rows)
+    return ordered.series_arrays(rows, [soil, "source"], _depth_order(), ["horizon", "depth_top_cm", "depth_bottom_cm", "g_cm3"], chunk_rows)
 
 
 def code_lookup(values: DataFrame, code: str, table: DataFrame | None = None, default: str = codes.DEFAULT_CROP_GROUP) -> DataFrame:

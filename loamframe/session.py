@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,19 +28,26 @@ def build_session(app: str = "loamframe", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to the shared checkpoint folder and cut its lineage.
-
-    The folder is the cluster's ``spark.checkpoint.dir``.  Only a local master
-    without that setting (tests, a laptop) gets a private folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``.  Only a local master without that setting
+    (tests, a laptop) gets a private folder."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        shared = _private_folder()
+    return shared
+
+
+@functools.cache
+def _private_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage ends there, a lost executor
+    costs a file read, and the new scan has true sizes for Spark's own broadcast decision."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/loamframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
