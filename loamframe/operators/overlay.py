@@ -7,6 +7,8 @@ the areas of B's rings clipped to those triangles.  Rectangles have a closed for
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loamframe.functions import geometry as geo
@@ -135,13 +137,21 @@ def overlap_area(a: Column, b: Column) -> Column:
     return F.when(is_rectangle(a) & is_rectangle(b), boxes).otherwise(intersection_area(a, b))
 
 
+@functools.cache
+def _positive_area() -> Column:
+    """Shared area of ``_ga`` and ``_gb`` as a one-element array, empty when there is none."""
+    return F.filter(F.array(overlap_area(F.col("_ga"), F.col("_gb"))), lambda v: v > 0)
+
+
 def overlap_join(parcels: DataFrame, classes: DataFrame, parcel_id: str, class_id: str, keep: list[str] = (),
                  geom: str = "geom", cell: float = 0.5) -> DataFrame:
     """Overlapping pairs with the shared area and its share of the parcel."""
     a = parcels.withColumns({"_ga": F.col(geom), "_area": geo.area_m2(F.col(geom))})
     b = classes.withColumn("_gb", F.col(geom))
     pairs = spatial.bbox_join(a, b, parcel_id, class_id, ["_ga", "_area"], ["_gb", *keep], cell)
-    measured = pairs.withColumn("inter_area", overlap_area(F.col("_ga"), F.col("_gb"))).filter(F.col("inter_area") > 0)
+    # one generator computes and filters: as a plain filter the long expression would be
+    # copied into the join condition and evaluated twice
+    measured = pairs.withColumn("inter_area", F.explode(_positive_area()))
     return measured.select(
         parcel_id, class_id, *keep, "inter_area", F.try_divide("inter_area", "_area").alias("fraction"))
 

@@ -7,16 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 from loamframe.functions import geometry as geo
 from loamframe.functions.text import valid_hydro_group
 from loamframe.operators import overlay, pixels as px, soil, spatial
+from loamframe.session import durable
 
 
 def pedo_components(parcels: DataFrame, polygons: DataFrame, components: DataFrame, hydro: DataFrame, parcel_id: str = "gid",
                     code: str = "code_polygone") -> DataFrame:
     """Long component rows per parcel with share, soil code and hydrologic group."""
     fractions = overlay.overlap_join(parcels, polygons, parcel_id, "polygon_id", [code])
-    per_code = fractions.groupBy(parcel_id, code).agg(F.sum("fraction").alias("fraction"))
+    # the overlay is the costly step and is read three times: written out once
+    per_code = durable(fractions.groupBy(parcel_id, code).agg(F.sum("fraction").alias("fraction")))
     described = soil.components_with_hydro(components, hydro, per_code.select(code).distinct())
     shares = soil.component_shares(per_code, described, parcel_id, keep=["code_sol", "groupe_hydrologique"])
-    return shares.withColumn("groupe_hydrologique", valid_hydro_group(F.col("groupe_hydrologique")))
+    return durable(shares.withColumn("groupe_hydrologique", valid_hydro_group(F.col("groupe_hydrologique"))))
 
 
 def pedo_properties(parcels: DataFrame, polygons: DataFrame, components: DataFrame, hydro: DataFrame, density: DataFrame,
@@ -50,9 +52,12 @@ def pedo_coverage(parcels: DataFrame, first: DataFrame, second: DataFrame, min_p
     ``first``: soil_id, symbol, geom; ``second``: soil_id, symbol, description, geom.
     """
     shapes = _as_polygon(parcels)
+    # both releases are read twice by the choice below: written out once
     a = overlay.class_shares(overlay.overlap_join(shapes, first, parcel_id, "soil_id", ["symbol"]), parcel_id, "symbol")
+    a = durable(a)
     b = overlay.class_shares(
         overlay.overlap_join(shapes, second, parcel_id, "soil_id", ["symbol", "description"]), parcel_id, "symbol", "description")
+    b = durable(b)
     a = a.withColumn("description", F.lit(None).cast("string")).select(*b.columns)
     return overlay.coverage_with_fallback(parcels, a, b, parcel_id, "symbol", min_pct, names)
 
