@@ -190,9 +190,9 @@ def first_match_label(spark, sf_dir):
     return spatial.first_match_label(points, zones, "farm", "parcel", "label").select("farm", "label")
 
 
-@query(f"WITH {PARCELS} SELECT a.gid AS id_a, b.gid AS id_b FROM parcels a JOIN parcels b ON a.gid <> b.gid AND a.minx <= b.maxx AND a.maxx >= b.minx AND a.miny <= b.maxy AND a.maxy >= b.miny")
+@query(f"WITH {SOILS} SELECT a.soil_id AS id_a, b.soil_id AS id_b FROM soils a JOIN soils b ON a.soil_id <> b.soil_id AND a.minx <= b.maxx AND a.maxx >= b.minx AND a.miny <= b.maxy AND a.maxy >= b.miny")
 def overlapping_pairs(spark, sf_dir):
-    return spatial.overlapping_pairs(parcels(spark, sf_dir), "gid")
+    return spatial.overlapping_pairs(soils(spark, sf_dir), "soil_id")
 
 
 @query(f"""WITH {_HITS} SELECT parcel, count(*) AS n, round(avg(c_acctbal), 4) AS m, round(stddev_pop(c_acctbal), 4) AS sd, string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS types FROM hits GROUP BY 1""")

@@ -677,9 +677,11 @@ def tile_keys(minx: Column, miny: Column, maxx: Column, maxy: Column, zoom: int)
 
 # --- validity ---------------------------------------------------------------
 def _signed_area(xs: Column, ys: Column) -> Column:
+    """Shoelace area of a ring, closed or not: positive when counter-clockwise."""
+    n = F.size(xs)
     return F.aggregate(
-        _segments(F.size(xs)), F.lit(0.0),
-        lambda acc, i: acc + (_at(xs, i - 1) * _at(ys, i) - _at(xs, i) * _at(ys, i - 1)) / 2,
+        F.when(n >= 2, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), F.lit(0.0),
+        lambda acc, i: acc + (_at(xs, i) * _at(ys, (i + 1) % n) - _at(xs, (i + 1) % n) * _at(ys, i)) / 2,
     )
 
 
