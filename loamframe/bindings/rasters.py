@@ -176,10 +176,10 @@ def terrain(spark, sf_dir):
     return out.select("pixel_id", F.round("slope_pct", 4).alias("slope_pct"), F.round("aspect_deg", 3).alias("aspect_deg"))
 
 
-_AT = f"{FARMS}, {PIXELS}, at AS (SELECT gid, CAST(floor((62.75::DOUBLE - y) / 0.7::DOUBLE) AS INTEGER) AS row, CAST(floor((x - (-79.75)::DOUBLE) / 0.95::DOUBLE) AS INTEGER) AS col FROM farms)"
+_SPOTS = f"{FARMS}, {PIXELS}, spots AS (SELECT gid, CAST(floor((62.75::DOUBLE - y) / 0.7::DOUBLE) AS INTEGER) AS row, CAST(floor((x - (-79.75)::DOUBLE) / 0.95::DOUBLE) AS INTEGER) AS col FROM farms)"
 
 
-@query(f"WITH {_AT} SELECT gid, b03 AS value FROM at JOIN pixels USING (row, col) WHERE label <> 3")
+@query(f"WITH {_SPOTS} SELECT gid, b03 AS value FROM spots JOIN pixels USING (row, col) WHERE label <> 3")
 def pixel_at(spark, sf_dir):
     raster = pixels(spark, sf_dir).select(F.lit("r1").alias("raster_id"), F.lit(1).alias("band"), "row", "col", F.when(F.col("label") == 3, F.lit(-1.0)).otherwise(F.col("b03")).alias("value"))
     about = spark.sql("SELECT 'r1' AS raster_id, -79.75D AS x0, 62.75D AS y0, 0.95D AS dx, 0.7D AS dy, -1.0D AS nodata")

@@ -43,10 +43,22 @@ def sliced(df: DataFrame, group: list[str], order: list[Column], hot_rows: int =
     at = F.sequence(F.lit(0), F.greatest(F.size("_sample") - 1, F.lit(0)), stride)
     cuts = sample.select(*group, F.transform(at, lambda i: F.get(F.col("_sample"), i)).alias("_cuts"))
     with_cuts = df.join(F.broadcast(cuts), group, "left")
-    place = F.size(F.filter("_cuts", lambda cut: cut < key))
+    place = place_among(F.col("_cuts"), key)
     return with_cuts.withColumn("_slice", F.coalesce(F.when(F.col("_cuts").isNotNull(), place), F.lit(0))).drop("_cuts")
 
 
+BLOCK = 16
+
+
+def place_among(cuts: Column, value: Column) -> Column:
+    """How many entries of an ascending array are below ``value``: block first, then inside it."""
+    heads = F.transform(F.sequence(F.lit(0), F.greatest(F.size(cuts) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.get(cuts, i))
+    block = F.size(F.filter(heads, lambda c: c < value))
+    start = (block - 1) * BLOCK
+    inside = F.size(F.filter(F.slice(cuts, start + 1, F.lit(BLOCK)), lambda c: c < value))
+    return F.when(block == 0, F.lit(0)).otherwise(start + inside)
+
+
 def _grouped(df: DataFrame, group: list[str]):
     """The whole table is one group under a constant key."""
     return (df, group) if group else (df.withColumn("_all", F.lit(0)), ["_all"])

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-SLICES = 512
+from loamframe.operators.ordered import place_among
+
+SLICES = 256
 
 
 def exact_percentiles(df: DataFrame, group: list[str], value: str, probabilities: dict[str, float],
@@ -30,7 +32,7 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, probabilities
     keys = group or ["_one"]
     source = counted if group else counted.withColumn("_one", F.lit(1))
     placed = source.join(ranked if group else F.broadcast(ranked), keys).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+        "_slice", place_among(F.col("_cuts"), F.col("_v"))
     ).drop("_cuts")
     wanted = F.array(*[
         F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos"))
