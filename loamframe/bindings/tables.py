@@ -175,7 +175,7 @@ PIXELS = """pixels AS (SELECT vec_id AS pixel_id, label, label + 2 AS scl, CAST(
 # --- predictions: line items are image-level predictions of a field ----------
 def predictions(spark, sf_dir) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
-    truth, guess = F.col("l_quantity") / 10.0 + 1.0, F.col("l_extendedprice") / 10000.0 + 1.0
+    truth, guess = F.col("l_quantity") / 10.0 + 1.0, F.col("l_extendedprice") / 9973.0 + 1.0
     return li.select(
         F.lit("RandomForest").alias("algo"), F.concat(F.lit("S_"), F.col("l_returnflag")).alias("scenario"),
         F.col("l_suppkey").alias("FIELD_ID"),
@@ -186,8 +186,8 @@ def predictions(spark, sf_dir) -> DataFrame:
 
 PREDICTIONS = """predictions AS (SELECT 'RandomForest' AS algo, 'S_' || l_returnflag AS scenario, l_suppkey AS FIELD_ID,
   CAST(year(l_shipdate) AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS Image_ID,
-  log10(l_quantity/10.0::DOUBLE + 1.0::DOUBLE) AS y_true_log, log10(l_extendedprice/10000.0::DOUBLE + 1.0::DOUBLE) AS y_pred_log,
-  l_quantity/10.0::DOUBLE + 1.0::DOUBLE AS y_true_lin, l_extendedprice/10000.0::DOUBLE + 1.0::DOUBLE AS y_pred_lin FROM lineitem)"""
+  log10(l_quantity/10.0::DOUBLE + 1.0::DOUBLE) AS y_true_log, log10(l_extendedprice/9973.0::DOUBLE + 1.0::DOUBLE) AS y_pred_log,
+  l_quantity/10.0::DOUBLE + 1.0::DOUBLE AS y_true_lin, l_extendedprice/9973.0::DOUBLE + 1.0::DOUBLE AS y_pred_lin FROM lineitem)"""
 
 
 # --- catalogue items: pages, with box, moment, cloud cover -------------------

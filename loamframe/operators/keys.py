@@ -40,13 +40,20 @@ def ensure_gid(df: DataFrame, order: list[str]) -> DataFrame:
 def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """First row per key.  ``min_by`` combines map-side, so a hot key costs one row per task."""
     rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
     picked = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return picked.select(*key, "_row.*").select(*df.columns)
 
 
 def last_per_key(df: DataFrame, key: list[str], version: str | None = None) -> DataFrame:
     rest = [c for c in df.columns if c not in key]
-    by = F.struct(version, F.xxhash64(*rest)) if version else F.struct(F.xxhash64(*rest))
+    if not rest:
+        return df.distinct()
+    # maps cannot be hashed: their JSON text can
+    kinds = dict(df.dtypes)
+    content = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kinds[c] else F.col(c) for c in rest])
+    by = F.struct(F.col(version), content) if version else F.struct(content)
     picked = df.groupBy(*key).agg(F.max_by(F.struct(*rest), by).alias("_row"))
     return picked.select(*key, "_row.*").select(*df.columns)
 

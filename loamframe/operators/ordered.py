@@ -26,25 +26,25 @@ def _key(order: list[Column]) -> Column:
 
 def sliced(df: DataFrame, group: list[str], order: list[Column], hot_rows: int = HOT_ROWS,
            slices: int = SLICES) -> DataFrame:
-    """Add ``_slice``: 0 in ordinary groups, 0..n in ascending order keys inside hot groups."""
+    """Add ``_ord_slice``: 0 in ordinary groups, 0..n in ascending order keys inside hot groups."""
     key = _key(order)
-    keyed = df.select(*group, key.alias("_key"))
+    keyed = df.select(*group, key.alias("_ord_key"))
     hot = (
-        keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-        .withColumn("_share", F.lit(float(slices * _SAMPLE_PER_SLICE * _HASH_RANGE)) / F.col("_n"))
+        keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_ord_n")).filter(F.col("_ord_n") > hot_rows)
+        .withColumn("_ord_share", F.lit(float(slices * _SAMPLE_PER_SLICE * _HASH_RANGE)) / F.col("_ord_n"))
     )
     sample = (
         keyed.join(F.broadcast(hot), group)
-        .filter(F.pmod(F.xxhash64("_key"), F.lit(_HASH_RANGE)) < F.col("_share"))
-        .select(*group, "_key").distinct()
-        .groupBy(*group).agg(F.array_sort(F.collect_list("_key")).alias("_sample"))
+        .filter(F.pmod(F.xxhash64("_ord_key"), F.lit(_HASH_RANGE)) < F.col("_ord_share"))
+        .select(*group, "_ord_key").distinct()
+        .groupBy(*group).agg(F.array_sort(F.collect_list("_ord_key")).alias("_ord_sample"))
     )
-    stride = F.greatest(F.lit(1), F.ceil(F.size("_sample") / slices).cast("int"))
-    at = F.sequence(F.lit(0), F.greatest(F.size("_sample") - 1, F.lit(0)), stride)
-    cuts = sample.select(*group, F.transform(at, lambda i: F.get(F.col("_sample"), i)).alias("_cuts"))
+    stride = F.greatest(F.lit(1), F.ceil(F.size("_ord_sample") / slices).cast("int"))
+    at = F.sequence(F.lit(0), F.greatest(F.size("_ord_sample") - 1, F.lit(0)), stride)
+    cuts = sample.select(*group, F.transform(at, lambda i: F.get(F.col("_ord_sample"), i)).alias("_ord_cuts"))
     with_cuts = df.join(F.broadcast(cuts), group, "left")
-    place = place_among(F.col("_cuts"), key)
-    return with_cuts.withColumn("_slice", F.coalesce(F.when(F.col("_cuts").isNotNull(), place), F.lit(0))).drop("_cuts")
+    place = place_among(F.col("_ord_cuts"), key)
+    return with_cuts.withColumn("_ord_slice", F.coalesce(F.when(F.col("_ord_cuts").isNotNull(), place), F.lit(0))).drop("_ord_cuts")
 
 
 BLOCK = 16
@@ -61,22 +61,22 @@ def place_among(cuts: Column, value: Column) -> Column:
 
 def _grouped(df: DataFrame, group: list[str]):
     """The whole table is one group under a constant key."""
-    return (df, group) if group else (df.withColumn("_all", F.lit(0)), ["_all"])
+    return (df, group) if group else (df.withColumn("_ord_all", F.lit(0)), ["_ord_all"])
 
 
 def _inside(group: list[str], order: list[Column]):
-    return Window.partitionBy(*group, "_slice").orderBy(*order)
+    return Window.partitionBy(*group, "_ord_slice").orderBy(*order)
 
 
 def _across(group: list[str]):
-    return Window.partitionBy(*group).orderBy("_slice")
+    return Window.partitionBy(*group).orderBy("_ord_slice")
 
 
 def _carry(df: DataFrame, group: list[str], value: Column, name: str) -> DataFrame:
     """Total of ``value`` in all earlier slices, one row per (group, slice)."""
-    totals = df.groupBy(*group, "_slice").agg(value.alias("_total"))
+    totals = df.groupBy(*group, "_ord_slice").agg(value.alias("_ord_total"))
     before = _across(group).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*group, "_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias(name))
+    return totals.select(*group, "_ord_slice", F.coalesce(F.sum("_ord_total").over(before), F.lit(0)).alias(name))
 
 
 def _add_carry(df: DataFrame, carry: DataFrame, group: list[str]) -> DataFrame:
@@ -84,7 +84,7 @@ def _add_carry(df: DataFrame, carry: DataFrame, group: list[str]) -> DataFrame:
 
     The carry table has at most ``slices`` rows per hot group.
     """
-    return df.join(F.broadcast(carry.filter(F.col("_slice") > 0)), [*group, "_slice"], "left")
+    return df.join(F.broadcast(carry.filter(F.col("_ord_slice") > 0)), [*group, "_ord_slice"], "left")
 
 
 def number_rows(df: DataFrame, group: list[str], order: list[Column], name: str = "position",
@@ -93,10 +93,10 @@ def number_rows(df: DataFrame, group: list[str], order: list[Column], name: str
     df, group = _grouped(df, group)
     cut = sliced(df, group, order, hot_rows, slices)
     inside = _inside(group, order)
-    carry = _carry(cut.select(*group, "_slice"), group, F.count(F.lit(1)), "_before")
-    numbered = _add_carry(cut.withColumn("_rn", F.row_number().over(inside)), carry, group)
-    value = (F.col("_rn") + F.coalesce(F.col("_before"), F.lit(0)) + (start - 1)).cast("long")
-    return numbered.withColumn(name, value).drop("_rn", "_before", "_slice", "_all")
+    carry = _carry(cut.select(*group, "_ord_slice"), group, F.count(F.lit(1)), "_ord_before")
+    numbered = _add_carry(cut.withColumn("_ord_rn", F.row_number().over(inside)), carry, group)
+    value = (F.col("_ord_rn") + F.coalesce(F.col("_ord_before"), F.lit(0)) + (start - 1)).cast("long")
+    return numbered.withColumn(name, value).drop("_ord_rn", "_ord_before", "_ord_slice", "_ord_all")
 
 
 def running_sum(df: DataFrame, group: list[str], order: list[Column], value: str, name: str,
@@ -106,10 +106,10 @@ def running_sum(df: DataFrame, group: list[str], order: list[Column], value: str
     cut = sliced(df, group, order, hot_rows, slices)
     inside = _inside(group, order)
     frame = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carry = _carry(cut.select(*group, "_slice", value), group, F.sum(value), "_before")
-    summed = _add_carry(cut.withColumn("_rs", F.sum(value).over(frame)), carry, group)
-    return summed.withColumn(name, F.col("_rs") + F.coalesce(F.col("_before"), F.lit(0))).drop(
-        "_rs", "_before", "_slice", "_all"
+    carry = _carry(cut.select(*group, "_ord_slice", value), group, F.sum(value), "_ord_before")
+    summed = _add_carry(cut.withColumn("_ord_rs", F.sum(value).over(frame)), carry, group)
+    return summed.withColumn(name, F.col("_ord_rs") + F.coalesce(F.col("_ord_before"), F.lit(0))).drop(
+        "_ord_rs", "_ord_before", "_ord_slice", "_ord_all"
     )
 
 
@@ -121,18 +121,18 @@ def previous_value(df: DataFrame, group: list[str], order: list[Column], value:
     cut = sliced(df, group, order, hot_rows, slices)
     inside = _inside(group, order)
     by_group = _across(group)
-    last = cut.groupBy(*group, "_slice").agg(F.max_by(F.struct(F.col(value).alias("v")), _key(order)).alias("_last"))
-    carry = last.select(*group, "_slice", F.lag("_last").over(by_group).alias("_carried"))
+    last = cut.groupBy(*group, "_ord_slice").agg(F.max_by(F.struct(F.col(value).alias("v")), _key(order)).alias("_ord_last"))
+    carry = last.select(*group, "_ord_slice", F.lag("_ord_last").over(by_group).alias("_ord_carried"))
     marked = cut.withColumns({
-        "_rn": F.row_number().over(inside), "_lag": F.lag(value).over(inside),
+        "_ord_rn": F.row_number().over(inside), "_ord_lag": F.lag(value).over(inside),
     })
     joined = _add_carry(marked, carry, group)
     out = joined.withColumn(
-        name, F.when(F.col("_rn") > 1, F.col("_lag")).otherwise(F.col("_carried.v"))
+        name, F.when(F.col("_ord_rn") > 1, F.col("_ord_lag")).otherwise(F.col("_ord_carried.v"))
     )
     if first_flag:
-        out = out.withColumn(first_flag, (F.col("_rn") == 1) & F.col("_carried").isNull())
-    return out.drop("_rn", "_lag", "_carried", "_slice", "_all")
+        out = out.withColumn(first_flag, (F.col("_ord_rn") == 1) & F.col("_ord_carried").isNull())
+    return out.drop("_ord_rn", "_ord_lag", "_ord_carried", "_ord_slice", "_ord_all")
 
 
 def neighbour_values(df: DataFrame, group: list[str], order: list[Column], value: str, before: str,
@@ -143,24 +143,24 @@ def neighbour_values(df: DataFrame, group: list[str], order: list[Column], value
     inside = _inside(group, order)
     known = F.when(F.col(value).isNotNull(), _key(order))
     by_group = _across(group)
-    ends = cut.groupBy(*group, "_slice").agg(
-        F.max_by(value, known).alias("_hi"), F.min_by(value, known).alias("_lo")
+    ends = cut.groupBy(*group, "_ord_slice").agg(
+        F.max_by(value, known).alias("_ord_hi"), F.min_by(value, known).alias("_ord_lo")
     )
     carry = ends.select(
-        *group, "_slice",
-        F.last("_hi", True).over(by_group.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_lo"),
-        F.first("_lo", True).over(by_group.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_hi"),
+        *group, "_ord_slice",
+        F.last("_ord_hi", True).over(by_group.rowsBetween(Window.unboundedPreceding, -1)).alias("_ord_carry_lo"),
+        F.first("_ord_lo", True).over(by_group.rowsBetween(1, Window.unboundedFollowing)).alias("_ord_carry_hi"),
     )
     local = cut.withColumns({
-        "_b": F.last(value, True).over(inside.rowsBetween(Window.unboundedPreceding, -1)),
-        "_a": F.first(value, True).over(inside.rowsBetween(1, Window.unboundedFollowing)),
+        "_ord_b": F.last(value, True).over(inside.rowsBetween(Window.unboundedPreceding, -1)),
+        "_ord_a": F.first(value, True).over(inside.rowsBetween(1, Window.unboundedFollowing)),
     })
     # slice 0 of a hot group may look ahead, so carries of all slices are kept here
     joined = local.join(F.broadcast(carry.filter(
-        F.col("_carry_lo").isNotNull() | F.col("_carry_hi").isNotNull())), [*group, "_slice"], "left")
+        F.col("_ord_carry_lo").isNotNull() | F.col("_ord_carry_hi").isNotNull())), [*group, "_ord_slice"], "left")
     return joined.withColumns({
-        before: F.coalesce("_b", "_carry_lo"), after: F.coalesce("_a", "_carry_hi"),
-    }).drop("_b", "_a", "_carry_lo", "_carry_hi", "_slice", "_all")
+        before: F.coalesce("_ord_b", "_ord_carry_lo"), after: F.coalesce("_ord_a", "_ord_carry_hi"),
+    }).drop("_ord_b", "_ord_a", "_ord_carry_lo", "_ord_carry_hi", "_ord_slice", "_ord_all")
 
 
 def _field(name: str):
@@ -174,11 +174,11 @@ def series_arrays(df: DataFrame, group: list[str], order: list[Column], values:
     A group longer than ``chunk_rows`` continues in further rows (``chunk`` = 0, 1, …), so
     no array and no task ever holds an unbounded group.
     """
-    numbered = number_rows(df, group, order, "_pos", hot_rows=hot_rows)
-    chunked = numbered.withColumn("chunk", F.floor((F.col("_pos") - 1) / chunk_rows).cast("int"))
+    numbered = number_rows(df, group, order, "_ord_pos", hot_rows=hot_rows)
+    chunked = numbered.withColumn("chunk", F.floor((F.col("_ord_pos") - 1) / chunk_rows).cast("int"))
     packed = chunked.groupBy(*group, "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("_pos", *values))).alias("_rows")
+        F.array_sort(F.collect_list(F.struct("_ord_pos", *values))).alias("_ord_rows")
     )
     return packed.select(
-        *group, "chunk", *[F.transform("_rows", _field(v)).alias(v) for v in values]
+        *group, "chunk", *[F.transform("_ord_rows", _field(v)).alias(v) for v in values]
     )
