@@ -133,12 +133,35 @@ def _search_radius(points: DataFrame, anchors: DataFrame, k: int, levels: list[f
         "_level", F.coalesce("_level", F.lit(len(levels) - 1)))
 
 
+def _level_join(points: DataFrame, features: DataFrame, point_id: str, feature_id: str, geom: str, keep: list[str],
+                levels: list[float]) -> DataFrame:
+    """Box join of points on their own grid level with features on all levels."""
+    def keyed(box: list[Column], number: int) -> Column:
+        return F.transform(geo.cells(*box, levels[number]), lambda c: F.struct(F.lit(number).alias("lv"), c["cx"].alias("cx"), c["cy"].alias("cy")))
+
+    pb, fb = [F.col(f"_a_{c}") for c in BOX], [F.col(f"_b_{c}") for c in BOX]
+    left = points.select(point_id, "_px", "_py", "_level", *[F.col(c).alias(f"_a_{c}") for c in BOX])
+    own = F.when(F.col("_level") == 0, keyed(pb, 0))
+    for number in range(1, len(levels)):
+        own = own.when(F.col("_level") == number, keyed(pb, number))
+    left = left.withColumn("_cell", F.explode(own)).select("*", "_cell.*").drop("_cell", "_level")
+    right = features.select(feature_id, geom, *keep, *[F.col(c).alias(f"_b_{c}") for c in BOX])
+    right = right.withColumn("_cell", F.explode(F.concat(*[keyed(fb, n) for n in range(len(levels))]))).select("*", "_cell.*").drop("_cell")
+    key = ["lv", "cx", "cy"]
+    pairs = left.join(F.broadcast(right), key) if skew.small(right) else skew.salted_join(left, right, key, F.col(point_id))
+    size = F.element_at(F.array(*[F.lit(float(v)) for v in levels]), F.col("lv") + 1)
+    home = (F.floor(F.greatest(pb[0], fb[0]) / size) == F.col("cx")) & (F.floor(F.greatest(pb[1], fb[1]) / size) == F.col("cy"))
+    overlap = (pb[0] <= fb[2]) & (pb[2] >= fb[0]) & (pb[1] <= fb[3]) & (pb[3] >= fb[1])
+    return pairs.filter(home & overlap).select(point_id, "_px", "_py", feature_id, geom, *keep)
+
+
 def nearest(parcels: DataFrame, features: DataFrame, parcel_id: str, feature_id: str, x: str, y: str, k: int,
             max_degrees: Column, geom: str = "geom", levels: list[float] = (0.05, 0.5), keep: list[str] = ()) -> DataFrame:
     """k planar-nearest features per point: (parcel_id, feature_id, planar, rank, geometry, kept).
 
     Each point searches on the finest grid level that is sure to hold its k nearest,
-    at most ``max_degrees`` away.  One cell join per level; each point is in one of them.
+    at most ``max_degrees`` away.  Features are keyed on every level, points on theirs, so one
+    join serves all levels.
     """
     anchors = features.select(
         F.get(geo.xs_of(F.col(geom)), F.lit(0)).alias("_ax"), F.get(geo.ys_of(F.col(geom)), F.lit(0)).alias("_ay"))
@@ -147,11 +170,7 @@ def nearest(parcels: DataFrame, features: DataFrame, parcel_id: str, feature_id:
         "minx": F.col("_px") - F.col("_pad"), "miny": F.col("_py") - F.col("_pad"),
         "maxx": F.col("_px") + F.col("_pad"), "maxy": F.col("_py") + F.col("_pad"),
     })
-    found = None
-    for number, size in enumerate(levels):
-        part = bbox_join(placed.filter(F.col("_level") == number), features, parcel_id, feature_id,
-                         ["_px", "_py"], [geom, *keep], size)
-        found = part if found is None else found.unionByName(part)
+    found = _level_join(placed, features, parcel_id, feature_id, geom, list(keep), list(levels))
     measured = found.withColumn("planar", geo.planar_distance(F.col(geom), F.col("_px"), F.col("_py")))
     return k_nearest(measured, parcel_id, "planar", feature_id, k)
 
