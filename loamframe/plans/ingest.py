@@ -33,7 +33,7 @@ def harmonise_layer(layer: DataFrame, crs: str | None, target: str = "EPSG:4326"
     judged = moved.withColumn("_reasons", geo.invalid_reasons(F.col("geom")))
     plain = [c for c, t in judged.dtypes if not t.startswith(("struct", "array", "map")) and not c.startswith("_")]
     # numbering, self-crossing check and splitting all read these rows: written out once
-    identified = durable(keys.ensure_gid(geo.with_bounds(judged), order or plain))
+    identified = durable(keys.ensure_gid(geo.with_bounds(judged), order or [*plain, *q.BOUNDS]))
     crossing = selfcross.self_intersecting(identified.filter(F.size("_reasons") == 0), "gid").withColumn("_crosses", F.lit(True))
     marked = identified.join(crossing, "gid", "left").withColumn(
         "_reasons", F.when(F.col("_crosses"), F.array(F.lit("self_intersection"))).otherwise(F.col("_reasons"))).drop("_crosses")

@@ -80,7 +80,7 @@ def read_csv_any(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("
                  schema: str | None = None) -> DataFrame:
     """CSV with the first encoding that decodes it and the separator its header uses."""
     lines = spark.read.text(path)
-    broken = not lines.filter(F.col("value").contains("�")).isEmpty()
+    broken = not lines.filter(~F.is_valid_utf8("value")).isEmpty()
     encoding = encodings[1] if broken and len(encodings) > 1 else encodings[0]
     head = lines.head()
     separator = max(DELIMITERS, key=(head["value"] if head else "").count)
