@@ -82,6 +82,7 @@ def read_csv_any(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("
     lines = spark.read.text(path)
     broken = not lines.filter(~F.is_valid_utf8("value")).isEmpty()
     encoding = encodings[1] if broken and len(encodings) > 1 else encodings[0]
+    encoding = {"latin1": "iso-8859-1"}.get(encoding.lower(), encoding)  # the reader's name for it
     head = lines.head()
     separator = max(DELIMITERS, key=(head["value"] if head else "").count)
     reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding)
