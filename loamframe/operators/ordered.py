@@ -44,7 +44,15 @@ def sliced(df: DataFrame, group: list[str], order: list[Column], hot_rows: int =
     cuts = sample.select(*group, F.transform(at, lambda i: F.get(F.col("_ord_sample"), i)).alias("_ord_cuts"))
     with_cuts = df.join(F.broadcast(cuts), group, "left")
     place = place_among(F.col("_ord_cuts"), key)
-    return with_cuts.withColumn("_ord_slice", F.coalesce(F.when(F.col("_ord_cuts").isNotNull(), place), F.lit(0))).drop("_ord_cuts")
+    hot_row = F.col("_ord_cuts").isNotNull()
+    return with_cuts.withColumns({
+        "_ord_slice": F.coalesce(F.when(hot_row, place), F.lit(0)), "_ord_hot": hot_row}).drop("_ord_cuts")
+
+
+def _hot_part(cut: DataFrame) -> DataFrame:
+    """Rows of hot groups: only they have carries.  Without hot groups Spark finds this join empty
+    at run time and skips the pass."""
+    return cut.filter("_ord_hot")
 
 
 BLOCK = 16
@@ -93,10 +101,10 @@ def number_rows(df: DataFrame, group: list[str], order: list[Column], name: str
     df, group = _grouped(df, group)
     cut = sliced(df, group, order, hot_rows, slices)
     inside = _inside(group, order)
-    carry = _carry(cut.select(*group, "_ord_slice"), group, F.count(F.lit(1)), "_ord_before")
+    carry = _carry(_hot_part(cut).select(*group, "_ord_slice"), group, F.count(F.lit(1)), "_ord_before")
     numbered = _add_carry(cut.withColumn("_ord_rn", F.row_number().over(inside)), carry, group)
     value = (F.col("_ord_rn") + F.coalesce(F.col("_ord_before"), F.lit(0)) + (start - 1)).cast("long")
-    return numbered.withColumn(name, value).drop("_ord_rn", "_ord_before", "_ord_slice", "_ord_all")
+    return numbered.withColumn(name, value).drop("_ord_rn", "_ord_before", "_ord_slice", "_ord_hot", "_ord_all")
 
 
 def running_sum(df: DataFrame, group: list[str], order: list[Column], value: str, name: str,
@@ -106,10 +114,10 @@ def running_sum(df: DataFrame, group: list[str], order: list[Column], value: str
     cut = sliced(df, group, order, hot_rows, slices)
     inside = _inside(group, order)
     frame = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carry = _carry(cut.select(*group, "_ord_slice", value), group, F.sum(value), "_ord_before")
+    carry = _carry(_hot_part(cut).select(*group, "_ord_slice", value), group, F.sum(value), "_ord_before")
     summed = _add_carry(cut.withColumn("_ord_rs", F.sum(value).over(frame)), carry, group)
     return summed.withColumn(name, F.col("_ord_rs") + F.coalesce(F.col("_ord_before"), F.lit(0))).drop(
-        "_ord_rs", "_ord_before", "_ord_slice", "_ord_all"
+        "_ord_rs", "_ord_before", "_ord_slice", "_ord_hot", "_ord_all"
     )
 
 
@@ -121,7 +129,7 @@ def previous_value(df: DataFrame, group: list[str], order: list[Column], value:
     cut = sliced(df, group, order, hot_rows, slices)
     inside = _inside(group, order)
     by_group = _across(group)
-    last = cut.groupBy(*group, "_ord_slice").agg(F.max_by(F.struct(F.col(value).alias("v")), _key(order)).alias("_ord_last"))
+    last = _hot_part(cut).groupBy(*group, "_ord_slice").agg(F.max_by(F.struct(F.col(value).alias("v")), _key(order)).alias("_ord_last"))
     carry = last.select(*group, "_ord_slice", F.lag("_ord_last").over(by_group).alias("_ord_carried"))
     marked = cut.withColumns({
         "_ord_rn": F.row_number().over(inside), "_ord_lag": F.lag(value).over(inside),
@@ -132,7 +140,7 @@ def previous_value(df: DataFrame, group: list[str], order: list[Column], value:
     )
     if first_flag:
         out = out.withColumn(first_flag, (F.col("_ord_rn") == 1) & F.col("_ord_carried").isNull())
-    return out.drop("_ord_rn", "_ord_lag", "_ord_carried", "_ord_slice", "_ord_all")
+    return out.drop("_ord_rn", "_ord_lag", "_ord_carried", "_ord_slice", "_ord_hot", "_ord_all")
 
 
 def neighbour_values(df: DataFrame, group: list[str], order: list[Column], value: str, before: str,
@@ -143,7 +151,7 @@ def neighbour_values(df: DataFrame, group: list[str], order: list[Column], value
     inside = _inside(group, order)
     known = F.when(F.col(value).isNotNull(), _key(order))
     by_group = _across(group)
-    ends = cut.groupBy(*group, "_ord_slice").agg(
+    ends = _hot_part(cut).groupBy(*group, "_ord_slice").agg(
         F.max_by(value, known).alias("_ord_hi"), F.min_by(value, known).alias("_ord_lo")
     )
     carry = ends.select(
@@ -160,7 +168,7 @@ def neighbour_values(df: DataFrame, group: list[str], order: list[Column], value
         F.col("_ord_carry_lo").isNotNull() | F.col("_ord_carry_hi").isNotNull())), [*group, "_ord_slice"], "left")
     return joined.withColumns({
         before: F.coalesce("_ord_b", "_ord_carry_lo"), after: F.coalesce("_ord_a", "_ord_carry_hi"),
-    }).drop("_ord_b", "_ord_a", "_ord_carry_lo", "_ord_carry_hi", "_ord_slice", "_ord_all")
+    }).drop("_ord_b", "_ord_a", "_ord_carry_lo", "_ord_carry_hi", "_ord_slice", "_ord_hot", "_ord_all")
 
 
 def _field(name: str):
