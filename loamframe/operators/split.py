@@ -70,7 +70,7 @@ def split_large(df: DataFrame, order: list[str], max_vertices: int = codes.SPLIT
     large = F.coalesce(is_large, F.lit(False))
     if df.filter(large).isEmpty():
         return df
-    kind = dict(df.dtypes)[gid]
+    kind, part_column = dict(df.dtypes)[gid], codes.SPLIT_PART_COLUMN
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -80,9 +80,9 @@ def split_large(df: DataFrame, order: list[str], max_vertices: int = codes.SPLIT
                 for number, piece in enumerate(split_rings(rings, max_vertices, max_depth), start=1):
                     parts = [{"part": int(n), "hole": bool(h), "xs": x.tolist(), "ys": y.tolist()} for n, h, x, y in piece]
                     rows.append((key, number, {"kind": "POLYGON", "parts": parts}))
-                yield pd.DataFrame(rows, columns=[gid, codes.SPLIT_PART_COLUMN, geom])
+                yield pd.DataFrame(rows, columns=[gid, part_column, geom])
 
-    schema = f"`{gid}` {kind}, {codes.SPLIT_PART_COLUMN} int, `{geom}` {geo.GEOM_TYPE}"
+    schema = f"`{gid}` {kind}, {part_column} int, `{geom}` {geo.GEOM_TYPE}"
     pieces = df.filter(large).select(gid, geom).mapInPandas(cut, schema)
     attributes = df.filter(large).drop(geom)
     whole = df.filter(~large).withColumn(codes.SPLIT_PART_COLUMN, F.lit(1))
