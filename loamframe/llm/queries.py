@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamframe.llm import common, decontaminate, sharding, substring_dedup, token_counts, token_store
+from loamframe.llm import common, decontaminate, sharding, substring_dedup, token_counts, token_store, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,23 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.mark_overlaps(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return out.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+_ARCHIVE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+h AS (SELECT digest, min(page_id) AS head FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN head IS NOT NULL AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN head IS NOT NULL AND page_id <> head THEN head END AS refers_to
+FROM p LEFT JOIN h USING (digest)
+"""
+
+
+@query(_ARCHIVE)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back: one row per record, with the digest its chunks add up to."""
+    pages = read(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    files = warc.write_warc(warc.record_chunks(warc.decide_revisits(pages)), common.new_folder(spark, "warc"))
+    chunks = warc.read_warc(files, with_data=False).where("is_last")
+    return chunks.select(F.col("record_id").alias("page_id"), "payload_bytes", F.col("running_digest").alias("payload_digest"), "record_type", "refers_to")
