@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamframe.llm import common, decontaminate, sharding, substring_dedup, token_counts, token_store, warc
+from loamframe.llm import common, decontaminate, sharding, simhash, substring_dedup, token_counts, token_store, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -107,3 +107,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_warc(warc.record_chunks(warc.decide_revisits(pages)), common.new_folder(spark, "warc"))
     chunks = warc.read_warc(files, with_data=False).where("is_last")
     return chunks.select(F.col("record_id").alias("page_id"), "payload_bytes", F.col("running_digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+@query()
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), keep=["doc_id"]).drop("is_head")
