@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamframe.llm import common, decontaminate, sharding, simhash, substring_dedup, token_counts, token_store, warc
+from loamframe.llm import common, decontaminate, pieces, sharding, simhash, substring_dedup, token_counts, token_store, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -113,3 +113,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), keep=["doc_id"]).drop("is_head")
+
+
+@query()
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram pieces of every document, and whether they decode to its text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
