@@ -44,7 +44,8 @@ class Words:
         data = b"\n".join(texts)
         cuts = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=cuts[1:])
-        self.data, at, n = data, 0, len(data)
+        #: text k begins at byte cuts[k]
+        self.data, self.cuts, at, n = data, cuts, 0, len(data)
         starts, ends, hashes = [], [], []
         raw = np.frombuffer(data, dtype=np.uint8)
         while at < n:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamframe.llm import common, decontaminate, pieces, sharding, simhash, substring_dedup, token_counts, token_store, warc
+from loamframe.llm import common, decontaminate, license_scan, pieces, rule_lists, sharding, simhash, substring_dedup, token_counts, token_store, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -120,3 +120,17 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram pieces of every document, and whether they decode to its text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+@query()
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of the learned rules."""
+    counted = common.durable(rule_lists.with_statistics(read(spark, sf_dir, "documents"), keep=["doc_id"]))
+    judged = rule_lists.judge(counted, read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *[f"_statistics.{c}" for c in rule_lists.STATISTICS], "base_failed", "kept", "rule")
+
+
+@query()
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence templates found in documents, with the best passage of each."""
+    return license_scan.scan_licences(read(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -243,5 +243,5 @@ def remove_repeats(df: DataFrame, text: str = "text", window: int = 35, chunk_by
     names = df.columns
     symbol_flags = durable(chunks.mapInArrow(symbols, ENTRIES).groupBy("bucket").applyInArrow(_repeats, FLAGS))
     window_flags = durable(with_flags(symbol_flags).mapInArrow(windows, ENTRIES).groupBy("bucket").applyInArrow(_repeats, FLAGS))
-    schema = df.schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    schema = df.select("*").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     return with_flags(symbol_flags.unionByName(window_flags)).mapInArrow(kept, schema)
