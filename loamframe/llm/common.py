@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loamframe.session import durable, shared_folder
 
-__all__ = ["durable", "new_folder", "numbered", "worker_cache", "byte_slices", "lower_ascii", "word_list", "let", "WORD_SEPARATORS"]
+__all__ = ["durable", "new_folder", "numbered", "worker_cache", "byte_slices", "passed_on", "lower_ascii", "word_list", "let", "WORD_SEPARATORS"]
 
 #: ``[\x20\x09-\x0D]``: what separates words in every contract but the benchmark's.  ``bytes.split()`` cuts at the same bytes.
 WORD_SEPARATORS = " \t\n\x0b\f\r"
@@ -50,6 +50,11 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 <
             start = stop
 
 
+def passed_on(columns: list[str], own: set[str]) -> list[str]:
+    """Columns that an operator hands on: one with the name of a column of the operator's own gives way."""
+    return [c for c in columns if c.lower() not in own]
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

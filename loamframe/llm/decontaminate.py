@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loamframe.llm.common import byte_slices, durable
+from loamframe.llm.common import byte_slices, durable, passed_on
 from loamframe.llm.hashing import SEQUENCE_BASE, Words, mix, range_hashes
 
 #: Longs of the bit filter over item fingerprints: 1 MB, whatever the number of items.
@@ -92,13 +92,11 @@ def mark_overlaps(
 
     A window is ``window`` consecutive words of an item; an item of fewer, but not none, is one window.  A document
     word inside any occurrence of a window is hit.  Null and empty texts have no words; null item ids count as "";
-    equal ids are one item; repeated documents are rows of their own; empty tables give no rows or no hits.  Result
-    names must not be in ``keep``.
+    equal ids are one item; repeated documents are rows of their own; empty tables give no rows or no hits.  Columns
+    of ``docs`` with result names give way.
     """
-    own = ["n_words", "n_hit", "n_items", "item_ids", "contaminated"]
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    if clash := {*own, "_text", "_row", "_found"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} are in the table already")
+    own = {"n_words", "n_hit", "n_items", "item_ids", "contaminated", "_text", "_row", "_found"}
+    keep = passed_on([c for c in docs.columns if c != text] if keep is None else keep, own)
     source = items.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
     cut = durable(source.mapInArrow(_item_windows(window), "item_id string, length int, hash long, offset int, words string"))
     windows = durable(cut.groupBy("length", "hash", "offset", "words").agg(F.count("*").alias("n")).withColumn("window", F.monotonically_increasing_id()))

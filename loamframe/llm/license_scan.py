@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loamframe.llm.common import byte_slices
+from loamframe.llm.common import byte_slices, passed_on
 from loamframe.llm.decontaminate import letter_table
 from loamframe.llm.hashing import SEQUENCE_BASE, Words, range_hashes
 from loamframe.llm.licence_templates import TEMPLATES
@@ -66,11 +66,9 @@ def scan_licences(
 
     Of each template the best passage of a text with a coefficient of at least ``least`` is reported; texts without
     one, null and empty texts give no row, repeated rows give theirs each.  Passages of one word have no bigrams and match
-    nothing.  Result names must not be in ``keep``.  No shuffle.
+    nothing.  Columns of ``df`` with result names give way.  No shuffle.
     """
-    keep = [c for c in df.columns if c != text] if keep is None else keep
-    if clash := {"licence", "form", "dice", "first_line", "last_line", "_text"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} are in the table already")
+    keep = passed_on([c for c in df.columns if c != text] if keep is None else keep, {"licence", "form", "dice", "first_line", "last_line", "_text"})
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loamframe.llm.common import byte_slices, worker_cache
+from loamframe.llm.common import byte_slices, passed_on, worker_cache
 
 MARK = "▁".encode()
 #: The library's own unknown penalty below the least score.
@@ -257,11 +257,10 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", keep: list[str]
     ids_crc32 is over unsigned 32-bit little-endian ids, decoded_crc32 over the UTF-8 bytes of the text that they decode
     to, ``round_trip`` whether that is the text (a text with U+2581 comes back with spaces).  Null and empty texts have
     no pieces and decode to "".  ``piece_ids`` only ``with_ids``.  Repeated rows are encoded each; an empty table gives none.  No
-    shuffle; a task holds a batch of 4 MB.  Result names must not be in ``keep``.
+    shuffle; a task holds a batch of 4 MB.  Columns of ``df`` with result names give way.
     """
-    keep = [c for c in df.columns if c != text] if keep is None else keep
-    if clash := {"n_pieces", "n_bytes_used", "ids_crc32", "decoded_crc32", "round_trip", "piece_ids", "_text"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} are in the table already")
+    own = {"n_pieces", "n_bytes_used", "ids_crc32", "decoded_crc32", "round_trip", "piece_ids", "_text"}
+    keep = passed_on([c for c in df.columns if c != text] if keep is None else keep, own)
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     model = df.sparkSession.sparkContext.broadcast(load_pieces(path))  # as large as the vocabulary
 

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loamframe.llm.common import WORD_SEPARATORS, durable, let, word_list
+from loamframe.llm.common import WORD_SEPARATORS, durable, let, passed_on, word_list
 
 SYMBOLS = "[^#*$%&|<>]+"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -163,10 +163,8 @@ def learn_rules(
 
 
 def with_statistics(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (default: all columns) and the struct ``_statistics``."""
-    keep = df.columns if keep is None else keep
-    if "_statistics" in keep:
-        raise ValueError("column _statistics is in the table already")
+    """``keep`` (default: all columns) and the struct ``_statistics``.  Columns with names of results give way."""
+    keep = passed_on(df.columns if keep is None else keep, {"_statistics", "base_failed", "rule", "kept"})
     return df.select(*[F.col(f"`{c}`") for c in keep], text_statistics(F.col(f"`{text}`")).alias("_statistics"))
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loamframe.llm.common import durable
+from loamframe.llm.common import durable, passed_on
 
 _WIDE = "decimal(20,0)"
 
@@ -110,12 +110,11 @@ def write_shards(df: DataFrame, folder: str, shards: int, id_col: str = "doc_id"
 
     Returns the written rows, all columns of ``df`` with ``shard``, ``slot`` (0, 1, ... without gaps in each shard) and
     ``size`` (UTF-8 bytes of ``text``, null 0, plus 1).  Null ids come first; a heavy id is cut by the texts' hashes;
-    rows equal in both stay together (in any order, which no column shows).  An empty table gives no rows.  Clashing
-    names in ``df`` are refused.  The sizes are read once from the input, the rounds read that small table.
+    rows equal in both stay together (in any order, which no column shows).  An empty table gives no rows.  Columns of
+    ``df`` with result names give way.  The sizes are read once from the input, the rounds read that small table.
     """
-    own = ["shard", "slot", "size", "_key", "_tie", "_place"]
-    if clash := set(own) & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are in the table already")
+    own = {"shard", "slot", "size", "_key", "_tie", "_place", "_part", "_row", "_offset"}
+    df = df.select(*[F.col(f"`{c}`") for c in passed_on(df.columns, own)])
     least = -(1 << 63)
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(least))
     tie = F.xxhash64(F.col(f"`{text}`").cast("string"))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loamframe.llm.common import byte_slices, durable
+from loamframe.llm.common import byte_slices, durable, passed_on
 from loamframe.llm.components import components
 
 #: Groups up to this size are compared pair by pair; larger ones by meeting points.  Either way gives all links.
@@ -92,12 +92,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
     ``component_id`` is the smallest id reachable over links of at most 2 bits, the row itself included; null ids count
     for nothing and a component of them alone has none.  ``is_head`` marks one row of each component: the one of the
     smallest id (of repeated rows one).  Null, empty and blank texts have fingerprint 0 and are linked like others.
-    An empty table gives no rows.  Result names must not be in ``keep``.
+    An empty table gives no rows.  Columns of ``df`` with result names give way.
     """
-    keep = df.columns if keep is None else keep
-    if clash := {"fingerprint", "component_id", "is_head", "_fp", "_id", "_row", "_text"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} are in the table already")
-    named = df.withColumn("_id", F.col(f"`{id_col}`").cast("long"))
+    own = {"fingerprint", "component_id", "is_head", "_fp", "_id", "_row", "_text", "_head"}
+    keep = passed_on(df.columns if keep is None else keep, own)
+    named = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])], F.col(f"`{id_col}`").cast("long").alias("_id"))
     base = durable(with_fingerprints(named, text, [*keep, "_id"], shingle).withColumn("_row", F.monotonically_increasing_id()))
     # the first row of each fingerprint: smallest id, null ids last
     first = durable(base.groupBy(F.col("_fp").alias("fp")).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")))

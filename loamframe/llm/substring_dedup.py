@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loamframe.llm.common import WORD_SEPARATORS, byte_slices, durable
+from loamframe.llm.common import WORD_SEPARATORS, byte_slices, durable, passed_on
 from loamframe.llm.hashing import SECOND_BASE, SEQUENCE_BASE, Words, mix, range_hashes, separator_table
 
 ENTRIES = "chunk string, kind int, bucket int, entries binary, several binary"
@@ -165,11 +165,10 @@ def remove_repeats(df: DataFrame, text: str = "text", window: int = 35, chunk_by
 
     A word goes if a window of ``window`` words of one text covers it whose words also start anywhere else (the same
     text included), judged on the input.  ``kept_text``: the kept words joined by one space; a null or empty text has
-    none and gives "".  Repeated rows are texts of their own.  Columns ``n_words``, ``n_removed`` and ``kept_text``
-    must not be in ``df``; other names do not matter.  An empty table gives none.
+    none and gives "".  Repeated rows are texts of their own.  Columns of ``df`` with result names
+    give way.  An empty table gives none.
     """
-    if clash := {"n_words", "n_removed", "kept_text"} & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are in the table already")
+    df = df.select(*[F.col(f"`{c}`") for c in passed_on(df.columns, {"n_words", "n_removed", "kept_text"})])
     spark = df.sparkSession
     column = df.columns.index(text)
 

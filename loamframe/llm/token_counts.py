@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loamframe.llm.common import byte_slices, worker_cache
+from loamframe.llm.common import byte_slices, passed_on, worker_cache
 from loamframe.llm.tokens import LETTERS_AND_MARKS, load
 
 #: Characters that some engine counts as white space, besides ASCII's six.
@@ -108,12 +108,9 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] |
     """``keep`` (default: every other column) with ``n_bytes`` and ``n_tokens`` of ``text``.
 
     Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; an empty table gives none.  No
-    truncation, padding or added tokens.  Columns of these names in ``df`` that are not kept do not matter; kept ones
-    are refused.  No shuffle: a task reads its part of the scan, which Spark cuts by bytes.
+    truncation, padding or added tokens.  Columns of ``df`` with these names give way.  No shuffle: a task reads its part of the scan, which Spark cuts by bytes.
     """
-    keep = [c for c in df.columns if c != text] if keep is None else keep
-    if clash := {"n_bytes", "n_tokens", "_text"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} are in the table already")
+    keep = passed_on([c for c in df.columns if c != text] if keep is None else keep, {"n_bytes", "n_tokens", "_text"})
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     names = list(keep)
 
