@@ -69,8 +69,9 @@ def link_fingerprints(prints: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
         "shiftleft(cast(v AS bigint), 32) | (shiftrightunsigned(fp, v & 32) & 4294967295L & ~shiftleft(1L, v & 31))").alias("key"))
     groups = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     groups = durable(groups)
+    # both sides are shuffled at every size: Spark then splits a crowded key, and the work grows evenly
     twos = groups.where("n = 2").select("a", "b")
-    members = durable(index.join(groups.where("n > 2").select("key", "n"), "key"))
+    members = durable(index.join(groups.where("n > 2").select("key", "n").hint("merge"), "key"))
     near = members.where(F.col("n") <= pairwise)
     some = near.select("key", F.col("fp").alias("a")).join(near.select("key", F.col("fp").alias("b")), "key").where("a < b")
     pairs = twos.unionByName(some.select("a", "b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
