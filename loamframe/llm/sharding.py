@@ -27,8 +27,8 @@ class Splitter:
     upto: int
 
 
-def _probe(df: DataFrame, key: str, spans: list[tuple[int, int]], probes: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """For each span (low, high]: (last key, bytes) of its equal cells in order.  One aggregation of at most spans x probes rows."""
+def _probe(df: DataFrame, key: str, spans: list[tuple[int, int]], probes: int) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
+    """For each span (low, high]: (key before, last key, bytes) of its equal cells with rows, in order.  One aggregation of at most spans x probes rows."""
     place = F.lit(None).cast("struct<span:int,cell:long>")
     steps = []
     for n, (low, high) in enumerate(spans):
@@ -40,8 +40,8 @@ def _probe(df: DataFrame, key: str, spans: list[tuple[int, int]], probes: int) -
     counted = df.select(place.alias("at"), "size").where("at is not null").groupBy("at.span", "at.cell").agg(F.sum("size").alias("size"))
     cells: dict = {span: [] for span in spans}
     for row in sorted(counted.collect()):  # spans x probes rows at most
-        low, high = spans[row["span"]]
-        cells[low, high].append((min(high, low + (row["cell"] + 1) * steps[row["span"]]), row["size"]))
+        (low, high), step = spans[row["span"]], steps[row["span"]]
+        cells[low, high].append((low + row["cell"] * step, min(high, low + (row["cell"] + 1) * step), row["size"]))
     return cells
 
 
@@ -52,9 +52,9 @@ def _refine(df: DataFrame, key: str, low: int, high: int, base: int, total: int,
         spans = sorted({(s.low, s.high) for s in wide})
         cells = _probe(df, key, spans, max(16, probes // len(spans)))
         for s in wide:
-            for last, size in cells[s.low, s.high]:
+            for before, last, size in cells[s.low, s.high]:
                 if s.below + size >= s.target:
-                    s.high, s.upto = last, s.below + size
+                    s.low, s.high, s.upto = before, last, s.below + size
                     break
                 s.below, s.low = s.below + size, last
     for s in found:  # the end nearer to the target is the boundary
