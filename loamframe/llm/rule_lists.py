@@ -86,8 +86,8 @@ def verdict(rules: list[Rule], values: dict[str, Column]) -> Column:
 
 
 def _cuts(rows: DataFrame, features: list[str], parts: int) -> dict[str, list[int]]:
-    """Thresholds to try: quantiles of good and of bad rows; 2 x features x parts values at most."""
-    shares = [k / parts for k in range(parts)]
+    """Thresholds to try: quantiles of good and of bad rows, both ends included; 2 x features x (parts + 1) values at most."""
+    shares = [k / parts for k in range(parts + 1)]
     found = rows.groupBy("bad").agg(*[F.percentile_approx(f, shares, 10_000).alias(f) for f in features]).collect()
     return {f: sorted({int(v) for row in found for v in row[f] or ()}) for f in features}
 
@@ -105,7 +105,8 @@ def learn_rules(
 
     ``rows`` has the long ``features``, ``bad`` and ``held`` (true: kept for pruning); rows with a null among them do not count.
     A rule stays if, on the held rows and on all, at least ``precision`` of what it covers is bad, and it covers ``least`` bad
-    rows or more.  Equal gains go to the first feature, then "above", then the lower threshold.  Without bad or good
+    rows or more.  Equal gains go to the first feature, then "above", then the narrower
+    condition.  A rule that fails is tried again without its first condition.  Without bad or good
     rows there are no rules.  Only counts for each feature and cut come to the driver.
     """
     rows = rows.select(*features, "bad", "held").dropna()
@@ -121,7 +122,7 @@ def learn_rules(
         parts = [F.col(c.feature) > F.lit(cuts[c.feature].index(c.threshold)) for c in rule]
         return reduce(lambda a, b: a & b, (x if c.above else ~x for x, c in zip(parts, rule)), F.lit(True))
 
-    def grow(rest: DataFrame) -> Rule:
+    def grow(rest: DataFrame, banned: set[Condition]) -> Rule:
         rule: Rule = ()
         while len(rule) < most_conditions:
             sums = (rest.where(in_cells(rule)).select("p", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f).alias("b")) for k, f in enumerate(features)])).alias("at"))
@@ -131,9 +132,11 @@ def learn_rules(
                 own = sorted((r["b"], r["p"], r["n"]) for r in sums if r["f"] == k)
                 all_p, all_n = sum(r[1] for r in own), sum(r[2] for r in own)
                 for above in (True, False):
-                    for c in range(len(cuts[f])):
+                    for c in sorted(range(len(cuts[f])), reverse=above):
                         p = sum(r[1] for r in own if (r[0] > c) == above)
                         n = sum(r[2] for r in own if (r[0] > c) == above)
+                        if not rule and Condition(f, above, cuts[f][c]) in banned:
+                            continue
                         if p >= least and (gain := _gain(p, n, all_p, all_n)) > best + 1e-9:
                             best, found = gain, Condition(f, above, cuts[f][c])
                 if not all_n:
@@ -144,11 +147,12 @@ def learn_rules(
         return rule
 
     rules: list[Rule] = []
-    while len(rules) < most_rules:
+    banned: set[Condition] = set()
+    while len(rules) < most_rules and len(banned) < most_rules:
         rest = cells
         for rule in rules:
             rest = rest.where(~in_cells(rule))
-        rule = grow(rest.where(~F.col("held")))
+        rule = grow(rest.where(~F.col("held")), banned)
         if not rule:
             break
         counted = rest.agg(*[F.coalesce(F.sum(F.when(in_cells(rule[:k]) & held, F.col(c))), F.lit(0)).alias(f"{c}{k}{tag}")
@@ -156,9 +160,10 @@ def learn_rules(
         worth = [((counted[f"p{k}h"] - counted[f"n{k}h"]) / max(1, counted[f"p{k}h"] + counted[f"n{k}h"]), -k) for k in range(1, len(rule) + 1)]
         k = -max(worth)[1]
         good = all(counted[f"p{k}{tag}"] >= precision * (counted[f"p{k}{tag}"] + counted[f"n{k}{tag}"]) for tag in "ha")
-        if not good or counted[f"p{k}a"] < least:
-            break
-        rules.append(rule[:k])
+        if good and counted[f"p{k}a"] >= least:
+            rules.append(rule[:k])
+        else:
+            banned.add(rule[0])
     return rules
 
 
