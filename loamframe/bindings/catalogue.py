@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loamframe import codes
 from loamframe.bindings.tables import ITEMS, items, query, read
 from loamframe.functions import values
 from loamframe.operators import catalog as cat, reports
@@ -179,11 +180,12 @@ def run_report(spark, sf_dir):
     return reports.run_report(read(spark, sf_dir, "events").withColumn("status", status), "event_type", "status", ["processed", "error", "skipped"])
 
 
-@query("""WITH g AS (SELECT user_id AS label, value FROM events WHERE event_type <> 'error' AND event_id % 4 > 0) SELECT label, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd,
-min(value) AS "min", max(value) AS "max", round(median(value), 6) AS median, round(avg(value) - 1.96::DOUBLE * coalesce(stddev_samp(value), 0) / sqrt(count(*)), 6) AS ci_low FROM g GROUP BY 1 HAVING count(*) >= 30""")
+@query("""WITH g AS (SELECT user_id AS label, value FROM events WHERE event_type <> 'error') SELECT label, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd,
+min(value) AS "min", max(value) AS "max", round(median(value), 6) AS median, round(avg(value) - (CASE WHEN count(*) >= 30 THEN 1.96::DOUBLE """ + " ".join(f"WHEN count(*) = {d + 1} THEN {t}::DOUBLE" for d, t in codes.STUDENT_T_975.items())
++ """ ELSE 0 END) * coalesce(stddev_samp(value), 0) / sqrt(count(*)), 6) AS ci_low FROM g GROUP BY 1""")
 def latency_summary(spark, sf_dir):
-    e = read(spark, sf_dir, "events").filter("event_id % 4 > 0").withColumnRenamed("user_id", "label")
-    out = reports.latency_summary(e, "label", "value", F.col("event_type") != "error").filter("n >= 30")
+    e = read(spark, sf_dir, "events").withColumnRenamed("user_id", "label")
+    out = reports.latency_summary(e, "label", "value", F.col("event_type") != "error")
     return out.select("label", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd")], "min", "max", F.round("median", 6).alias("median"), F.round("ci_low", 6).alias("ci_low"))
 
 

@@ -216,13 +216,13 @@ def _matches(spark, sf_dir):
     return pp.som_field_match(zones, points, 450.0, "parcel", "farm", "flag")
 
 
-@query(f"WITH {_D} SELECT parcel, farm, flag, round(d, 1) AS dist_m FROM d WHERE d <= 450 ORDER BY parcel, flag DESC, dist_m LIMIT 5000")
+@query(f"WITH {_D} SELECT parcel, farm, flag, round(d, 1) AS dist_m FROM d WHERE d <= 450 ORDER BY parcel, flag DESC, dist_m")
 def flag_then_distance(spark, sf_dir):
-    return spatial.flag_then_distance(_matches(spark, sf_dir), "flag", "parcel").limit(5000)
+    return spatial.flag_then_distance(_matches(spark, sf_dir), "flag", "parcel")
 
 
 @query(f"""WITH {FARMS}, {PARCELS}, c AS (SELECT gid AS click, x + ((gid % 5) - 2) * 0.0004::DOUBLE AS cx, y AS cy FROM farms), h AS (SELECT click, p.gid AS parcel, cx >= minx AND cx < maxx AND cy >= miny AND cy < maxy AS inside
-FROM c JOIN parcels p ON cx - 0.001 <= maxx AND cx + 0.001 >= minx AND cy - 0.001 <= maxy AND cy + 0.001 >= miny)
+FROM c JOIN parcels p ON cx - 0.0002 <= maxx AND cx + 0.0002 >= minx AND cy - 0.0002 <= maxy AND cy + 0.0002 >= miny)
 SELECT click, parcel, inside AS "contains" FROM (SELECT *, row_number() OVER (PARTITION BY click ORDER BY inside DESC, parcel) AS rn FROM h) WHERE rn = 1""")
 def point_hit(spark, sf_dir):
     clicks = farms(spark, sf_dir).select(F.col("gid").alias("click"), (F.col("x") + ((F.col("gid") % 5) - 2) * F.lit(0.0004)).alias("x"), "y")

@@ -288,9 +288,8 @@ def station_metadata(spark, sf_dir):
 
 @query(f"""WITH {OBSERVATIONS}, {STATIONS}, {PARCELS}, t AS (SELECT station_id, sum(value) AS total, count(value) AS n_values FROM observations WHERE variable = 'purchase'
 AND day BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' GROUP BY 1), c AS (SELECT p.gid, s.station_id, total, n_values,
-sqrt((lon - (minx + maxx) / 2) * (lon - (minx + maxx) / 2) + (lat - (miny + maxy) / 2) * (lat - (miny + maxy) / 2)) AS d FROM parcels p, stations s JOIN t USING (station_id)
-WHERE abs(lon - (minx + maxx) / 2) <= 8 AND abs(lat - (miny + maxy) / 2) <= 8)
-SELECT gid, station_id, round(total, 4) AS total, n_values FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY round(d, 9), station_id) AS rn FROM c) WHERE rn = 1""")
+sqrt((lon - (minx + maxx) / 2) * (lon - (minx + maxx) / 2) + (lat - (miny + maxy) / 2) * (lat - (miny + maxy) / 2)) AS d FROM parcels p, stations s JOIN t USING (station_id))
+SELECT parcels.gid, station_id, round(total, 4) AS total, n_values FROM parcels LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY round(d, 9), station_id) AS rn FROM c) b ON b.gid = parcels.gid AND rn = 1""")
 def nearest_with_data(spark, sf_dir):
     o = observations(spark, sf_dir).filter(
         (F.col("variable") == "purchase") & F.col("day").between(F.lit("2024-01-10").cast("date"), F.lit("2024-01-12").cast("date")))

@@ -5,7 +5,7 @@ A grid is a long table (dataset, scenario, model, time, i, j, lat, lon, variable
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from loamframe.functions import geometry as geo
 from loamframe.functions.values import convert_units, finite
@@ -76,34 +76,41 @@ def spatial_mean(series: DataFrame, keys: list[str]) -> DataFrame:
     return series.groupBy(*keys, "time").agg(F.avg(finite(F.col("value"))).alias("value"))
 
 
-def cells_of_requests(requests: DataFrame, grid_cells: DataFrame) -> DataFrame:
-    """(request_id, i, j) of the cells each request covers.
+def cells_of_requests(requests: DataFrame, grid_cells: DataFrame, grid_keys: list[str] = ()) -> DataFrame:
+    """(request_id, grid keys, i, j) of the cells each request covers on its own grid.
 
     Requests with a polygon take cell centres inside it, box requests the cells in the
-    box, points the nearest latitude and longitude.  ``grid_cells`` (i, j, lat, lon) is the
-    grid's geometry, not its data, so nothing here grows with time.
+    box, points the nearest centre, on a rotated grid as on a regular one.  ``grid_cells`` (grid keys, i, j, lat, lon)
+    is the grids' geometry, not their data, so nothing here grows with time.  Both sides carry
+    ``grid_keys`` (a data set, a model); each grid has a band of longitudes of its own, so all are searched in one join.
     """
     from loamframe.operators import spatial
 
+    keys = list(grid_keys)
+    if keys:
+        grids = grid_cells.select(*keys).distinct().withColumn("_grid", F.row_number().over(Window.orderBy(*keys)) - 1)  # a row per grid
+        grid_cells, requests = grid_cells.join(grids, keys), requests.join(grids, keys)
+    else:
+        grid_cells, requests = grid_cells.withColumn("_grid", F.lit(0)), requests.withColumn("_grid", F.lit(0))
+    band = F.col("_grid") * 1024.0
+    who = F.struct("request_id", *keys).alias("_who")
     is_point = (F.col("minx") == F.col("maxx")) & (F.col("miny") == F.col("maxy"))
-    boxes = requests.filter(~is_point).select("request_id", "minx", "miny", "maxx", "maxy", "polygon")
     centres = grid_cells.select(
-        F.struct("i", "j").alias("cell_id"), "i", "j", "lat", "lon",
-        F.col("lon").alias("minx"), F.col("lat").alias("miny"), F.col("lon").alias("maxx"), F.col("lat").alias("maxy"),
-    )
-    pairs = spatial.bbox_join(centres, boxes, "cell_id", "request_id",
-                              keep_left=["i", "j", "lat", "lon"], keep_right=["polygon"], cell=1.0)
-    inside = F.col("polygon").isNull() | geo.contains_point(F.col("polygon"), F.col("lon"), F.col("lat"))
-    covered = pairs.filter(inside).select("request_id", "i", "j")
-    points = requests.filter(is_point).select("request_id", F.col("minx").alias("x"), F.col("miny").alias("y"))
-    # a regular axis has a few thousand distinct values: both axes are checked, then broadcast as arrays
-    axes = grid_cells.agg(F.array_sort(F.collect_set("lat")).alias("lats"), F.array_sort(F.collect_set("lon")).alias("lons"))
-    nearest = points.withColumn("_k", F.lit(1)).join(F.broadcast(axes.withColumn("_k", F.lit(1))), "_k")
-    near_lat = F.array_min(F.transform("lats", lambda v: F.struct(F.abs(v - F.col("y")).alias("d"), v.alias("v"))))["v"]
-    near_lon = F.array_min(F.transform("lons", lambda v: F.struct(F.abs(v - F.col("x")).alias("d"), v.alias("v"))))["v"]
-    picked = nearest.select("request_id", near_lat.alias("lat"), near_lon.alias("lon"))
-    exact = grid_cells.select("i", "j", "lat", "lon").join(picked, ["lat", "lon"]).select("request_id", "i", "j")
-    return covered.unionByName(exact)
+        F.struct("lat", "lon", "i", "j", "_grid").alias("_cell_id"), "i", "j", "lat", "lon",
+        (F.col("lon") + band).alias("minx"), F.col("lat").alias("miny"), (F.col("lon") + band).alias("maxx"), F.col("lat").alias("maxy"))
+    edge = 1e-6  # the band may shift a bound by less; the bounds themselves decide below
+    boxes = requests.filter(~is_point).select(
+        who, "polygon", F.struct("minx", "miny", "maxx", "maxy").alias("_box"),
+        (F.col("minx") + band - edge).alias("minx"), F.col("miny"), (F.col("maxx") + band + edge).alias("maxx"), F.col("maxy"))
+    pairs = spatial.bbox_join(centres, boxes, "_cell_id", "_who", keep_left=["i", "j", "lat", "lon"], keep_right=["polygon", "_box"], cell=1.0)
+    inside = F.col("lon").between(F.col("_box.minx"), F.col("_box.maxx")) & (
+        F.col("polygon").isNull() | geo.contains_point(F.col("polygon"), F.col("lon"), F.col("lat")))
+    covered = pairs.filter(inside).select("_who.*", "i", "j")
+    points = requests.filter(is_point).select(who, (F.col("minx") + band).alias("x"), F.col("miny").alias("y"))
+    anchors = centres.withColumn("geom", geo.point(F.col("minx"), F.col("miny")))
+    # the levels grow until they cover a whole grid but not its neighbours
+    best = spatial.nearest(points, anchors, "_who", "_cell_id", "x", "y", 1, F.lit(500.0), levels=[0.5, 8.0, 128.0], keep=["i", "j"])
+    return covered.unionByName(best.select("_who.*", "i", "j"))
 
 
 def timeseries(grid: DataFrame, requests: DataFrame, registry: DataFrame, aggregation: str = "daily") -> DataFrame:
@@ -115,11 +122,12 @@ def timeseries(grid: DataFrame, requests: DataFrame, registry: DataFrame, aggreg
     """
     if aggregation not in ("daily", "monthly"):
         raise ValueError("aggregation must be daily or monthly")
-    locations = requests.dropDuplicates(["request_id"]).select("request_id", "minx", "miny", "maxx", "maxy", "polygon")
-    cell_list = cells_of_requests(locations, durable(grid.select("i", "j", "lat", "lon").distinct()))
+    grid_keys = ["dataset"] + [c for c in ("model",) if c in grid.columns and c in requests.columns]
+    locations = requests.dropDuplicates(["request_id", *grid_keys]).select("request_id", *grid_keys, "minx", "miny", "maxx", "maxy", "polygon")
+    cell_list = cells_of_requests(locations, durable(grid.select(*grid_keys, "i", "j", "lat", "lon").distinct()), grid_keys)
     keys = ["dataset", "variable"] + [c for c in ("scenario", "model") if c in grid.columns and c in requests.columns]
     # written out, so Spark knows its true size and broadcasts it only when it is small
-    wanted = durable(requests.select("request_id", *keys, "start_date", "end_date").join(cell_list, "request_id"))
+    wanted = durable(requests.select("request_id", *keys, "start_date", "end_date").join(cell_list, ["request_id", *grid_keys]))
     values = grid.join(wanted, [*keys, "i", "j"]).filter(
         F.col("time").between(F.col("start_date").cast("date"), F.col("end_date").cast("date"))
     )
@@ -169,7 +177,7 @@ def pr_days(pr: Column, threshold: float | Column = 1.0) -> Column:
 def daily_columns(series: DataFrame, key: list[str]) -> DataFrame:
     """Long daily series → one row per key and day with tasmin, tasmax and pr columns."""
     return series.groupBy(*key, "time").agg(*[
-        F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in ("tasmin", "tasmax", "pr")
+        F.max(F.when(F.col("variable") == v, finite(F.col("value")))).alias(v) for v in ("tasmin", "tasmax", "pr")
     ])
 
 

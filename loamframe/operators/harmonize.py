@@ -175,9 +175,9 @@ def in_list(df: DataFrame, column: str, values: list | DataFrame, inline_limit:
     return df.join(table.distinct(), column, "left_semi")
 
 
-def infer_logical_type(df: DataFrame, column: str, sample: int = 50, share: float = 0.7) -> DataFrame:
-    """Logical type of a text column from its first non-null values: json, timestamp or text."""
-    head = df.select(column).filter(F.col(column).isNotNull()).limit(sample)
+def infer_logical_type(df: DataFrame, column: str, share: float = 0.7) -> DataFrame:
+    """Logical type of a text column from all its non-null values: json, timestamp or text."""
+    head = df.select(column).filter(F.col(column).isNotNull())
     # a bare number is valid JSON too, but only objects and lists count as JSON here
     is_json = F.try_parse_json(column).isNotNull() & F.ltrim(column).rlike(r"^[\[{]")
     is_time = F.try_to_timestamp(column).isNotNull() & F.col(column).rlike(r"^\d{4}-\d{2}-\d{2}")

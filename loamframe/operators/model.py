@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loamframe import codes
 from loamframe.functions.text import parse_soil_list
+from loamframe.functions.values import finite
 from loamframe.operators import encoding, gram, harmonize, ordered, quantiles, reports, skew
 from loamframe.session import durable
 
@@ -99,24 +100,12 @@ def group_split(df: DataFrame, group: str, ratio: float, seed: int, forced: list
     return joined.filter("_test is null").drop("_test"), joined.filter("_test").drop("_test")
 
 
-def group_folds(df: DataFrame, group: str, k: int, driver_limit: int = 100_000) -> DataFrame:
+def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     """(group, fold): k folds with about equal row counts, groups never split.
 
-    Largest group to the lightest fold while the group table is small; beyond that
-    groups are dealt in size order, back and forth.
+    Groups are dealt in size order, back and forth, at every size.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    if skew.small(sizes, driver_limit):
-        rows = sorted(sizes.collect(), key=lambda r: (-r["_n"], str(r[group])))
-        k = min(k, len(rows))
-        load = [0] * max(k, 1)
-        placed = []
-        for r in rows:
-            fold = load.index(min(load))
-            load[fold] += r["_n"]
-            placed.append((r[group], fold))
-        kind = df.schema[group].dataType.simpleString()
-        return df.sparkSession.createDataFrame(placed, f"`{group}` {kind}, fold int")
     numbered = ordered.number_rows(sizes, [], [-F.col("_n"), F.col(group)], "_p", start=0)
     lap = F.pmod("_p", F.lit(2 * k))
     return numbered.select(group, F.when(lap < k, lap).otherwise(2 * k - 1 - lap).cast("int").alias("fold"))
@@ -124,12 +113,12 @@ def group_folds(df: DataFrame, group: str, k: int, driver_limit: int = 100_000)
 
 # --- scaling --------------------------------------------------------------------
 def column_means(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.agg(*[F.avg(c).alias(c) for c in columns])
+    return df.agg(*[F.avg(finite(F.col(c))).alias(c) for c in columns])
 
 
 def impute(df: DataFrame, means: dict[str, float]) -> DataFrame:
     """Missing features filled with the training means."""
-    return df.withColumns({c: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(float(m or 0.0))) for c, m in means.items()})
+    return df.withColumns({c: F.coalesce(finite(F.col(c).cast("double")), F.lit(float(m or 0.0))) for c, m in means.items()})
 
 
 def fit_scaler(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -167,8 +156,12 @@ def score_images(df: DataFrame, features: list[str], alpha: float, target: str =
     size = len(features) + 2
     sizes = df.groupBy(IMAGE).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(FIELD).alias("_fields")).filter(F.col("n") >= least_rows)
     rows = skew.lookup_join(df.select(FIELD, IMAGE, target, *features), sizes.select(IMAGE, "_fields"), [IMAGE], "inner")
+    # the fields of an image are dealt in size order, so no fold of two or more fields is empty
+    fields = rows.groupBy(IMAGE, FIELD, "_fields").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = ordered.number_rows(fields, [IMAGE], [-F.col("_n"), F.col(FIELD)], "_p", start=0)
     k = F.greatest(F.lit(2), F.least(F.lit(3), F.col("_fields")))
-    folded = rows.withColumn("fold", F.pmod(F.xxhash64(FIELD, IMAGE), k).cast("int"))
+    folds = dealt.select(IMAGE, FIELD, F.pmod("_p", k).cast("int").alias("fold"))
+    folded = skew.lookup_join(rows.drop("_fields"), folds, [IMAGE, FIELD], "inner")
     sums = gram.gram_table(folded, [IMAGE, "fold"], features, target)
     kind = df.schema[IMAGE].dataType.simpleString()
 
@@ -180,14 +173,20 @@ def score_images(df: DataFrame, features: list[str], alpha: float, target: str =
 
 
 def rank_images(df: DataFrame, features: list[str], alpha: float) -> list[str]:
-    """Images from best to worst; all of them in id order when none can be scored."""
-    scored = score_images(df, features, alpha).filter("CV_RMSE is not null and not isnan(CV_RMSE)")
-    ranked = [r[IMAGE] for r in reports.rank_images(scored).orderBy("rank").collect()]
-    return ranked or sorted(r[IMAGE] for r in df.select(IMAGE).distinct().collect())
+    """Images from best to worst; all of them in id order when none can be scored.
+
+    Images of one field have rows enough but nothing to be scored against: they follow in id order.
+    """
+    scored = durable(score_images(df, features, alpha))
+    known = F.col("CV_RMSE").isNotNull() & ~F.isnan("CV_RMSE")
+    ranked = [r[IMAGE] for r in reports.rank_images(scored.filter(known)).orderBy("rank").collect()]
+    if not ranked:
+        return sorted(r[IMAGE] for r in df.select(IMAGE).distinct().collect())
+    return ranked + sorted(r[IMAGE] for r in scored.filter(~known).select(IMAGE).collect())
 
 
 # --- forests --------------------------------------------------------------------
-def fit_forest(df: DataFrame, features: list[str], trees: int, target: str = "log_SOM", seed: int = 42, depth: int = 12) -> RandomForestRegressionModel:
+def fit_forest(df: DataFrame, features: list[str], trees: int, target: str = "log_SOM", seed: int = 42, depth: int = 30) -> RandomForestRegressionModel:
     assembled = VectorAssembler(inputCols=features, outputCol="_x").transform(df.select(*features, target))
     return RandomForestRegressor(
         featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed,
@@ -204,7 +203,7 @@ def r_squared(df: DataFrame, truth: str, predicted: str) -> float:
     return float("nan") if value is None else value
 
 
-def progressive_selection(train: DataFrame, validation: DataFrame, ranked: list[str], features: list[str], trees: int = 50, depth: int = 12) -> list[dict]:
+def progressive_selection(train: DataFrame, validation: DataFrame, ranked: list[str], features: list[str], trees: int = 50, depth: int = 30) -> list[dict]:
     """Validation R² with the first 1, 2, … images; steps with too few rows are skipped."""
     counts = {r[IMAGE]: r["n"] for r in train.groupBy(IMAGE).agg(F.count(F.lit(1)).alias("n")).collect()}
     steps = []
@@ -254,7 +253,7 @@ def metrics(df: DataFrame) -> dict:
     return row.asDict()
 
 
-def grouped_cv_predictions(production: DataFrame, labelled: DataFrame, features: list[str], trees: int = 200, depth: int = 12) -> DataFrame:
+def grouped_cv_predictions(production: DataFrame, labelled: DataFrame, features: list[str], trees: int = 200, depth: int = 30) -> DataFrame:
     """Every labelled row predicted by a forest that saw no image of its field: (keys, log_SOM,
     y_pred_log, fold).  Each fold's rows are written out once."""
     folds = group_folds(labelled, FIELD, CV_FOLDS)
@@ -293,7 +292,7 @@ class Bundle:
 
 
 def train_scenario(raw: DataFrame, scenario: str, seed: int = 42, test_ratio: float = 0.2, forced: list | None = None,
-                   trees: int = 200, step_trees: int = 50, depth: int = 12) -> Bundle:
+                   trees: int = 200, step_trees: int = 50, depth: int = 30) -> Bundle:
     """The whole training run of one scenario, without leakage from test or held-out fields."""
     spark = raw.sparkSession
     prepared, preparation = prepare_training(durable(raw))

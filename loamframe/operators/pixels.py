@@ -27,9 +27,9 @@ def bare_soil_mask(pixels: DataFrame, field: str, image: str, bsi: str = "BSI")
     The means are one combined row per (field, image); joining them back leaves a big field
     spread out, where a window would put all its pixels into one task.
     """
-    means = pixels.groupBy(field, image).agg(F.avg(bsi).alias("_mean_bsi"))
+    means = pixels.groupBy(field, image).agg(F.avg(finite(F.col(bsi))).alias("_mean_bsi"))
     joined = skew.salted_join(pixels, means, [field, image], F.xxhash64(*pixels.columns))
-    return joined.filter(F.col(bsi) > F.col("_mean_bsi")).drop("_mean_bsi")
+    return joined.filter(finite(F.col(bsi)) > F.col("_mean_bsi")).drop("_mean_bsi")
 
 
 def scene_filter(scenes: DataFrame, year: int, time: str = "t", cloud: str = "cloud_cover", max_cloud: float = 1.0) -> DataFrame:

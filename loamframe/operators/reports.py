@@ -15,9 +15,9 @@ def field_predictions(predictions: DataFrame, keys: tuple[str, ...] = ("algo", "
     columns = ["y_true_log", "y_pred_log", "y_true_lin", "y_pred_lin"]
     missing = {*keys, image, *columns} - set(predictions.columns)
     if missing:
-        raise ValueError(f"missing prediction columns: {sorted(missing)}")
+        raise ValueError(f"predictions lack {sorted(missing)}")
     return predictions.groupBy(*keys).agg(
-        *[F.avg(c).alias(f"{c}_field") for c in columns], F.count_distinct(image).alias("n_images"))
+        *[F.avg(finite(F.col(c))).alias(f"{c}_field") for c in columns], F.count_distinct(image).alias("n_images"))
 
 
 def error_metrics(truth: Column, predicted: Column, suffix: str) -> list[Column]:
@@ -47,9 +47,10 @@ def yearly_trend(predictions: DataFrame, scenario: str | None = None, factor: fl
     most one image was used (``max_images``: one row with ``n_images``)."""
     rows = predictions.filter(F.col("scenario") == scenario) if scenario else predictions
     year = F.coalesce(F.nullif(F.split_part(F.col(image), F.lit("_"), F.lit(1)), F.lit("")), F.lit("unknown"))
+    predicted = finite(F.col("y_pred_lin"))
     trend = rows.withColumn("year", year).groupBy("year").agg(
-        (F.avg("y_pred_lin") * factor).alias("mean_pred"), (F.min("y_pred_lin") * factor).alias("min_pred"),
-        (F.max("y_pred_lin") * factor).alias("max_pred"), (F.avg("y_true_lin") * factor).alias("mean_meas"),
+        (F.avg(predicted) * factor).alias("mean_pred"), (F.min(predicted) * factor).alias("min_pred"),
+        (F.max(predicted) * factor).alias("max_pred"), (F.avg(finite(F.col("y_true_lin"))) * factor).alias("mean_meas"),
     )
     if max_images is None:
         return trend

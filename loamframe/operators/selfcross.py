@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from loamframe.functions.geometry import _segments_cross
+from loamframe.functions.geometry import _orient, _segments_cross
 from loamframe.operators import spatial
 
 
@@ -22,8 +22,22 @@ def ring_edges(df: DataFrame, identity: str, geom: str = "geom") -> DataFrame:
     })
 
 
+def _cross_or_overlap(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """Do two segments cross inside both, or share more than a point of one line?"""
+    o1, o2 = _orient(ax, ay, bx, by, cx, cy), _orient(ax, ay, bx, by, dx, dy)
+    o3, o4 = _orient(cx, cy, dx, dy, ax, ay), _orient(cx, cy, dx, dy, bx, by)
+    line = (o1 == 0) & (o2 == 0)
+    shared_x = F.least(F.greatest(ax, bx), F.greatest(cx, dx)) - F.greatest(F.least(ax, bx), F.least(cx, dx))
+    shared_y = F.least(F.greatest(ay, by), F.greatest(cy, dy)) - F.greatest(F.least(ay, by), F.least(cy, dy))
+    overlap = line & (shared_x >= 0) & (shared_y >= 0) & ((shared_x > 0) | (shared_y > 0))
+    return ((o1 * o2 < 0) & (o3 * o4 < 0)) | overlap
+
+
 def self_intersecting(df: DataFrame, identity: str, geom: str = "geom", cell: float = 0.01) -> DataFrame:
-    """Ids of polygons with two edges that meet anywhere but at a shared neighbour vertex."""
+    """Ids of polygons with two edges that cross or overlap, or a ring that touches itself.
+
+    Different rings may meet in single points: a hole touches its shell, two parts share a corner.
+    """
     edges = ring_edges(df, identity, geom)
     ends = ["x1", "y1", "x2", "y2"]
     a = edges.select(F.col("edge").alias("ea"), F.col("_n").alias("na"), *[F.col(c).alias(f"a{c}") for c in ends], "minx", "miny", "maxx", "maxy")
@@ -33,5 +47,6 @@ def self_intersecting(df: DataFrame, identity: str, geom: str = "geom", cell: fl
     same_ring = F.col("ea._ring") == F.col("eb._ring")
     neighbours = same_ring & ((gap == 1) | (gap == F.col("na") - 1))
     later = (F.col("eb._ring") > F.col("ea._ring")) | (same_ring & (gap > 0))
-    cross = _segments_cross(*[F.col(f"{s}{c}") for s in "ab" for c in ends])
-    return pairs.filter((F.col("ea._own") == F.col("eb._own")) & later & ~neighbours & cross).select(F.col("ea._own").alias(identity)).distinct()
+    points = [F.col(f"{s}{c}") for s in "ab" for c in ends]
+    bad = F.when(same_ring, _segments_cross(*points)).otherwise(_cross_or_overlap(*points))
+    return pairs.filter((F.col("ea._own") == F.col("eb._own")) & later & ~neighbours & bad).select(F.col("ea._own").alias(identity)).distinct()

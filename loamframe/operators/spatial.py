@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loamframe import codes
 from loamframe.functions import geometry as geo
 from loamframe.operators import keys, skew
+from loamframe.functions.values import finite
 
 BOX = ("minx", "miny", "maxx", "maxy")
 DEGREE_M = math.radians(1.0) * codes.EARTH_RADIUS_M
@@ -191,21 +192,23 @@ def nearest_distance(parcels: DataFrame, features: DataFrame, parcel_id: str, fe
 
 
 def nearest_with_data(parcels: DataFrame, observations: DataFrame, stations: DataFrame, parcel_id: str, station_id: str,
-                      value: str, max_degrees: float = 8.0) -> DataFrame:
-    """Nearest station (planar) that has any value, with its sum and count.
+                      value: str, levels: tuple[float, ...] = (0.5, 4.0, 32.0, 512.0)) -> DataFrame:
+    """Nearest station (planar) that has any value, with its sum and count; NULL where no station has one.
+
+    The search grows by ``levels`` until it covers the globe, so distance is no limit.
 
     Stations are reduced to one row each first, so the search never sees observations.
     """
-    totals = observations.groupBy(station_id).agg(F.sum(value).alias("total"), F.count(value).alias("n_values"))
+    totals = observations.groupBy(station_id).agg(F.sum(finite(F.col(value))).alias("total"), F.count(finite(F.col(value))).alias("n_values"))
     usable = stations.join(totals.filter(F.col("n_values") > 0), station_id).withColumn(
         "geom", geo.point(F.col("lon"), F.col("lat")))
     boxed = as_boxes(usable, "lon", "lat")
-    best = nearest(parcels, boxed, parcel_id, station_id, "x", "y", 1, F.lit(max_degrees), levels=(0.5, 4.0),
+    best = nearest(parcels, boxed, parcel_id, station_id, "x", "y", 1, F.lit(1000.0), levels=list(levels),
                    keep=["total", "n_values"])
-    return best.select(parcel_id, station_id, "total", "n_values")
+    return parcels.select(parcel_id).join(best.select(parcel_id, station_id, "total", "n_values"), parcel_id, "left")
 
 
-def point_hit(clicks: DataFrame, features: DataFrame, click_id: str, feature_id: str, pad: float = 0.001,
+def point_hit(clicks: DataFrame, features: DataFrame, click_id: str, feature_id: str, pad: float = 0.0002,
               geom: str = "geom", cell: float = 0.05) -> DataFrame:
     """First feature containing each clicked point, else the first candidate near it."""
     boxed = clicks.withColumns({
@@ -229,7 +232,7 @@ def field_sample_stats(fields: DataFrame, samples: DataFrame, soils: DataFrame,
 
 def sample_stats(joined: DataFrame, field_id: str, value: str, soil: str) -> DataFrame:
     stats = joined.groupBy(field_id).agg(
-        F.count(value).alias("n"), F.avg(value).alias("m"), F.stddev_pop(value).alias("sd"),
+        F.count(finite(F.col(value))).alias("n"), F.avg(finite(F.col(value))).alias("m"), F.stddev_pop(finite(F.col(value))).alias("sd"),
         F.array_sort(F.collect_set(soil)).alias("types"),
     )
     return stats.filter(F.size("types") > 0)
@@ -252,7 +255,7 @@ def neighbour_offsets(ids: DataFrame, known: DataFrame, identity: str) -> DataFr
     return ordered.neighbour_values(joined, [], [F.col(identity)], "offset", "lower_offset", "upper_offset").drop("offset")
 
 
-def resolve_ambiguous(candidates: DataFrame, a_id: str, b_id: str, max_rounds: int = 50) -> DataFrame:
+def resolve_ambiguous(candidates: DataFrame, a_id: str, b_id: str) -> DataFrame:
     """One-to-one pairs out of many-to-many candidates.
 
     Unique pairs first; then, round by round, a candidate whose offset equals a
@@ -273,7 +276,7 @@ def resolve_ambiguous(candidates: DataFrame, a_id: str, b_id: str, max_rounds: i
          | (F.col(a_id) - F.col(b_id)).eqNullSafe(F.col("upper_offset"))).alias("_near"),
     ))
     solved = durable(solved)
-    for _ in range(max_rounds):
+    while True:  # each round settles an id at least, or ends
         free = open_pairs.join(solved.select(b_id), b_id, "left_anti").join(solved.select(a_id), a_id, "left_anti")
         state = free.groupBy(a_id).agg(
             F.count(F.lit(1)).alias("_free"), F.count_if("_near").alias("_hits"),

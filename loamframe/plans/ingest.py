@@ -62,7 +62,7 @@ def ingest_vector(spark: SparkSession, paths: dict[str, str], target_dir: str, c
             writers.write_table(clean, f"{target_dir}/{name}", overwrite)
             events.append((name, "vector", "processed", None))
         except Exception as problem:  # isolation: the layer is reported, the run goes on
-            events.append((name, "vector", "error", str(problem)[:200]))
+            events.append((name, "vector", "error", str(problem)))
     return spark.createDataFrame(events, "name string, type string, status string, error string")
 
 
@@ -94,9 +94,9 @@ def catalog_walk(collections: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in collections.items():
         try:
-            row = q.profile(df, name).withColumn("error", F.lit(None).cast("string"))
+            row = durable(q.profile(df, name).withColumn("error", F.lit(None).cast("string")))  # read now, so that a failure is caught
         except Exception as problem:
             spark = next(iter(collections.values())).sparkSession
-            row = spark.createDataFrame([(name, str(problem)[:200])], "collection string, error string")
+            row = spark.createDataFrame([(name, str(problem))], "collection string, error string")
         out = row if out is None else out.unionByName(row, allowMissingColumns=True)
     return out

@@ -24,13 +24,13 @@ def read_grid(grid: DataFrame, dataset: str, variables: list[str]) -> DataFrame:
 
 
 def read_station_items(items: DataFrame, box, start: str, end: str, time: str = "time",
-                       station: str = "station_id", limit: int = 10_000) -> DataFrame:
-    """Station observations in a box and period, at most ``limit`` in a stable order."""
+                       station: str = "station_id", limit: int | None = None) -> DataFrame:
+    """Station observations in a box and period: all of them, or the first ``limit`` in a stable order."""
     minx, miny, maxx, maxy = box
     hits = items.filter(
         F.col("lon").between(minx, maxx) & F.col("lat").between(miny, maxy) & F.col(time).between(start, end)
     )
-    return hits.orderBy(station, time).limit(limit)
+    return hits if limit is None else hits.orderBy(station, time).limit(limit)
 
 
 def tile_index_lookup(tiles: DataFrame, requests: DataFrame, products: list[str]) -> DataFrame:

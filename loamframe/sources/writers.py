@@ -59,7 +59,10 @@ def export_table(df: DataFrame, path: str, renames: dict[str, str] | None = None
 
 
 def load_table(df: DataFrame, table: str, mode: str, order: list[str] | None = None) -> None:
-    """Load into a catalog table: ids assured first, checked before anything is written."""
+    """Load into a catalog table: ids assured first, checked before anything is written.
+
+    Appended rows without ids go on after the stored ones; appended ids must not be stored already.
+    """
     modes = {"replace": "overwrite", "append": "append", "fail": "errorifexists"}
     if mode not in modes:
         raise ValueError(f"mode must be one of {sorted(modes)}")
@@ -68,6 +71,13 @@ def load_table(df: DataFrame, table: str, mode: str, order: list[str] | None = N
     bad = {c: problems[c] for c in ("nulls", "duplicates", "non_integers", "negatives") if problems[c]}
     if bad:
         raise ValueError(f"gid is not a key: {bad}")
+    if mode == "append" and df.sparkSession.catalog.tableExists(table):
+        stored = df.sparkSession.table(table).select("gid")
+        if "gid" not in df.columns:
+            last = stored.agg(F.coalesce(F.max("gid"), F.lit(0))).first()[0]
+            ready = ready.withColumn("gid", F.col("gid") + F.lit(last))
+        elif not ready.join(stored, "gid", "left_semi").isEmpty():
+            raise ValueError(f"some gid are in {table} already")
     ready.write.mode(modes[mode]).saveAsTable(table)
 
 

@@ -74,7 +74,7 @@ def stream_ingest_layers(arriving: DataFrame, target: str, key: list[str], prepa
 
     def absorb(batch: DataFrame, number: int) -> None:
         clean = prepare(batch)
-        merged = writers.upsert(spark.read.parquet(f"{target}/v{number - 1}"), clean, key) if number else clean.dropDuplicates(key)
+        merged = writers.upsert(spark.read.parquet(f"{target}/v{number - 1}"), clean, key) if number else writers.upsert(clean.limit(0), clean, key)
         merged.write.mode("overwrite").parquet(f"{target}/v{number}")
 
     return arriving.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -46,9 +46,8 @@ def test_splits_never_share_a_field(pool):
     assert forced.count() == 10
     with pytest.raises(ValueError):
         model.group_split(pool, "FIELD_ID", 0.2, 7, [99.0])
-    small, dealt = model.group_folds(pool, "FIELD_ID", 5), model.group_folds(pool, "FIELD_ID", 5, driver_limit=3)
-    for folds in (small, dealt):
-        assert [r["count"] for r in folds.groupBy("fold").count().collect()] == [4] * 5
+    folds = model.group_folds(pool, "FIELD_ID", 5)
+    assert [r["count"] for r in folds.groupBy("fold").count().collect()] == [4] * 5
 
 
 def test_preparation_is_fitted_once(pool):
