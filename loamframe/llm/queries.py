@@ -126,7 +126,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document and the verdict of the learned rules."""
     counted = common.durable(rule_lists.with_statistics(read(spark, sf_dir, "documents"), keep=["doc_id"]))
-    judged = rule_lists.judge(counted, read(spark, sf_dir, "labels"))
+    judged = rule_lists.judge(counted, rule_lists.rules_from_labels(counted, read(spark, sf_dir, "labels")))
     return judged.select("doc_id", *[f"_statistics.{c}" for c in rule_lists.STATISTICS], "base_failed", "kept", "rule")
 
 

@@ -173,18 +173,27 @@ def with_statistics(df: DataFrame, text: str = "text", keep: list[str] | None =
     return df.select(*[F.col(f"`{c}`") for c in keep], text_statistics(F.col(f"`{text}`")).alias("_statistics"))
 
 
-def judge(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", **settings) -> DataFrame:
-    """``counted`` (a written table from ``with_statistics``) with ``base_failed``, ``rule`` and ``kept``.
+def rules_from_labels(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", **settings) -> list[Rule]:
+    """Rules from all labelled rows of ``counted`` (a written table from ``with_statistics``) that pass the base checks.
 
-    Rules are learned from all labelled rows that pass the base checks, ``label`` 0 being bad; one row in three, by the
-    hash of its id, is held out for pruning.  Null labels and ids do not count, repeated or contradicting labels count each.
-    A row is kept if it passes the base checks and no rule holds.  Empty tables, or labels of one kind, give no rules.
+    ``label`` 0 is bad; one row in three, by the hash of its id, is held out for pruning.  Null labels and ids do not
+    count, repeated or contradicting labels count each.  Empty tables, or labels of one kind, give no rules.
     """
-    values = {name: F.expr(e.replace("s.", "_statistics.")) for name, e in FEATURES.items()}
     known = labels.select(F.col(f"`{id_col}`").alias("_labelled"), F.col(f"`{label}`").alias("_label")).dropna()
-    rows = (counted.where(~base_failed("_statistics")).select(F.col(f"`{id_col}`").alias("_id"), *[v.cast("long").alias(n) for n, v in values.items()])
+    rows = (counted.where(~base_failed("_statistics")).select(F.col(f"`{id_col}`").alias("_id"), *[v.cast("long").alias(n) for n, v in feature_columns().items()])
             .join(known, F.col("_id") == F.col("_labelled"))
             .select(*FEATURES, (F.col("_label") == 0).alias("bad"), (F.pmod(F.xxhash64("_id"), F.lit(3)) == 0).alias("held")))
-    rules = learn_rules(rows, list(FEATURES), **settings)
-    return counted.withColumns({"base_failed": base_failed("_statistics"), "rule": verdict(rules, values)}).withColumn(
+    return learn_rules(rows, list(FEATURES), **settings)
+
+
+def feature_columns() -> dict[str, Column]:
+    return {name: F.expr(e.replace("s.", "_statistics.")) for name, e in FEATURES.items()}
+
+
+def judge(counted: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``counted`` (from ``with_statistics``) with ``base_failed``, ``rule`` (number of the first that holds, or 0) and ``kept``.
+
+    A row is kept if it passes the base checks and no rule holds.
+    """
+    return counted.withColumns({"base_failed": base_failed("_statistics"), "rule": verdict(rules, feature_columns())}).withColumn(
         "kept", ~F.col("base_failed") & (F.col("rule") == 0))

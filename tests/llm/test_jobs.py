@@ -68,7 +68,7 @@ def test_rules_without_a_pattern_or_labels(spark):
 def test_judge_with_bad_labels(spark, docs, made):
     labels = spark.createDataFrame([(1, None), (None, 0), (2, 1), (2, 0), (9_999, 0)], "doc_id long, quality int")
     counted = common.durable(rule_lists.with_statistics(docs))
-    got = rule_lists.judge(counted, labels).collect()
+    got = rule_lists.judge(counted, rule_lists.rules_from_labels(counted, labels)).collect()
     want = [(n < 50 or 100 * again > 50 * n) for n, *_, again in (plain_statistics(r[1]) for r in made[0])]
     assert sum(r["base_failed"] for r in got) == sum(want) and all(r["kept"] != r["base_failed"] for r in got)
 
