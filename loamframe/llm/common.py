@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loamframe.session import durable, shared_folder
 
-__all__ = ["durable", "new_folder", "numbered", "worker_cache", "byte_slices", "passed_on", "lower_ascii", "word_list", "let", "WORD_SEPARATORS"]
+__all__ = ["durable", "new_folder", "worker_cache", "byte_slices", "passed_on", "word_list", "let", "WORD_SEPARATORS"]
 
 #: ``[\x20\x09-\x0D]``: what separates words in every contract but the benchmark's.  ``bytes.split()`` cuts at the same bytes.
 WORD_SEPARATORS = " \t\n\x0b\f\r"
@@ -21,11 +21,6 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/loamframe-{kind}-{uuid.uuid4().hex}"
 
 
-def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
-    """``df`` written once with a unique row number, so that repeated rows and null ids stay apart."""
-    return durable(df.withColumn(name, F.monotonically_increasing_id()))
-
-
 def worker_cache(key: str) -> dict:
     """A dictionary that lives as long as the Python worker (tasks of one worker share it)."""
     import sys
@@ -55,10 +50,6 @@ def passed_on(columns: list[str], own: set[str]) -> list[str]:
     return [c for c in columns if c.lower() not in own]
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def word_list(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
