@@ -242,12 +242,10 @@ def ascii_fold(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.ascii_fold(F.col("text"))).alias("folded"))
 
 
-_SOIL_TEXT = F.concat(F.lit("['"), "p_type", F.lit("', "), F.lit(" "), "p_brand", F.lit(" ,, '"), "p_name", F.lit("']"))
-
-
 @query("SELECT p_partkey, p_type || '|' || p_brand || '|' || p_name AS classes, 3 AS n FROM part")
 def parse_soil_list(spark, sf_dir):
-    parsed = read(spark, sf_dir, "part").select("p_partkey", text.parse_soil_list(_SOIL_TEXT).alias("c"))
+    listed = F.concat(F.lit("['"), "p_type", F.lit("', "), F.lit(" "), "p_brand", F.lit(" ,, '"), "p_name", F.lit("']"))
+    parsed = read(spark, sf_dir, "part").select("p_partkey", text.parse_soil_list(listed).alias("c"))
     return parsed.select("p_partkey", F.array_join("c", "|").alias("classes"), F.size("c").alias("n"))
 
 

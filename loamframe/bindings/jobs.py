@@ -8,7 +8,7 @@ from loamframe.bindings.soils import _box_area, coverage
 from loamframe.bindings.tables import (
     DAILY, FARMS, ITEMS, OBSERVATIONS, PARCELS, SOILS, daily, farms, items, observations, parcels, pixels, query, read, soils, stations,
 )
-from loamframe.functions import geometry as geo
+from loamframe.functions import geometry as geo, indices
 from loamframe.operators import harmonize, overlay, selfcross, spatial, split
 from loamframe.plans import imagery, ingest, parcels as pp
 from loamframe.streaming import live
@@ -117,7 +117,7 @@ def parcel_portrait(spark, sf_dir):
     p = parcels(spark, sf_dir)
     at = p.select("gid", ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y"))
     water = farms(spark, sf_dir).select(F.col("gid").alias("water_id"), geo.point(F.col("x"), F.col("y")).alias("geom"), "minx", "miny", "maxx", "maxy")
-    layers = {"ndvi": pixels(spark, sf_dir).withColumn("value", F.col("b08")), "elevation": pixels(spark, sf_dir).withColumn("value", F.col("b02"))}
+    layers = {"ndvi": pixels(spark, sf_dir).withColumn("value", indices.ndvi(F.col("b08"), F.col("b04"))), "elevation": pixels(spark, sf_dir).withColumn("value", F.col("b02"))}
     rain = spatial.nearest_with_data(at, observations(spark, sf_dir).filter("variable = 'purchase'"), stations(spark, sf_dir), "gid", "station_id", "value")
     portrait = pp.parcel_portrait(p, pp.coverage_summary(coverage(spark, sf_dir)), pedo_tables(spark, sf_dir)[1],
                                   pp.water_distance(p, water, 100_000.0), pp.zonal_means(p, layers), rain)

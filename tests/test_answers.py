@@ -98,3 +98,13 @@ def test_a_failing_collection_is_a_row(spark):
     broken = good.withColumn("gid", F.raise_error(F.lit("unreadable")).cast("long")).withColumn("minx", F.raise_error(F.lit("unreadable")).cast("double"))
     rows = {r["collection"]: r["error"] for r in ingest.catalog_walk({"good": good, "broken": broken}).collect()}
     assert rows["good"] is None and "unreadable" in rows["broken"]
+
+
+def test_names_can_be_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) > 150, set(e.oracle_sql()) <= set(e.queries()))"],
+                          cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120)
+    assert said.stdout.split() == ["True", "True"], said.stderr
