@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loamframe.session import durable, shared_folder
 
-__all__ = ["durable", "new_folder", "worker_cache", "byte_slices", "passed_on", "word_list", "let", "WORD_SEPARATORS"]
+__all__ = ["durable", "new_folder", "small_batches", "worker_cache", "byte_slices", "passed_on", "word_list", "let", "WORD_SEPARATORS"]
 
 #: ``[\x20\x09-\x0D]``: what separates words in every contract but the benchmark's.  ``bytes.split()`` cuts at the same bytes.
 WORD_SEPARATORS = " \t\n\x0b\f\r"
@@ -21,6 +21,17 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/loamframe-{kind}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000, size: int = 8 << 20) -> None:
+    """Arrow batches of at most ``rows`` rows and ``size`` bytes from here on, unless the session has less.
+
+    Spark's defaults (10 000 rows, 64 MB) are held several times over by a task's JVM and Python sides.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
 def worker_cache(key: str) -> dict:
     """A dictionary that lives as long as the Python worker (tasks of one worker share it)."""
     import sys

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loamframe.llm.common import byte_slices, durable, passed_on
+from loamframe.llm.common import byte_slices, durable, passed_on, small_batches
 from loamframe.llm.hashing import SEQUENCE_BASE, Words, mix, range_hashes
 
 #: Longs of the bit filter over item fingerprints: 1 MB, whatever the number of items.
@@ -97,6 +97,7 @@ def mark_overlaps(
     """
     own = {"n_words", "n_hit", "n_items", "item_ids", "contaminated", "_text", "_row", "_found"}
     keep = passed_on([c for c in docs.columns if c != text] if keep is None else keep, own)
+    small_batches(docs.sparkSession)
     source = items.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
     cut = durable(source.mapInArrow(_item_windows(window), "item_id string, length int, hash long, offset int, words string"))
     windows = durable(cut.groupBy("length", "hash", "offset", "words").agg(F.count("*").alias("n")).withColumn("window", F.monotonically_increasing_id()))

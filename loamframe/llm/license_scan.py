@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loamframe.llm.common import byte_slices, passed_on
+from loamframe.llm.common import byte_slices, passed_on, small_batches
 from loamframe.llm.decontaminate import letter_table
 from loamframe.llm.hashing import SEQUENCE_BASE, Words, range_hashes
 from loamframe.llm.licence_templates import TEMPLATES
@@ -69,6 +69,7 @@ def scan_licences(
     nothing.  Columns of ``df`` with result names give way.  No shuffle.
     """
     keep = passed_on([c for c in df.columns if c != text] if keep is None else keep, {"licence", "form", "dice", "first_line", "last_line", "_text"})
+    small_batches(df.sparkSession)
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loamframe.llm.common import byte_slices, passed_on, worker_cache
+from loamframe.llm.common import byte_slices, passed_on, small_batches, worker_cache
 
 MARK = "▁".encode()
 #: The library's own unknown penalty below the least score.
@@ -209,7 +209,7 @@ def long_path(word: bytes, p: Pieces) -> list[int]:
 class Encoder:
     """Ids of whole texts as bytes of ``dtype``; parts are remembered up to a bound."""
 
-    def __init__(self, p: Pieces, key: str, kept: int = 400_000, cells: int = 1 << 19, long: int = 256):
+    def __init__(self, p: Pieces, key: str, kept: int = 200_000, cells: int = 1 << 19, long: int = 256):
         self.p, self.kept, self.cells, self.long = p, kept, cells, long
         self.dtype = "<u2" if len(p.scores) <= 1 << 16 else "<u4"
         self.known = worker_cache(f"parts {key}")
@@ -261,6 +261,7 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", keep: list[str]
     """
     own = {"n_pieces", "n_bytes_used", "ids_crc32", "decoded_crc32", "round_trip", "piece_ids", "_text"}
     keep = passed_on([c for c in df.columns if c != text] if keep is None else keep, own)
+    small_batches(df.sparkSession)
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     model = df.sparkSession.sparkContext.broadcast(load_pieces(path))  # as large as the vocabulary
 

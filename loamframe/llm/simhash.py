@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loamframe.llm.common import byte_slices, durable, passed_on
+from loamframe.llm.common import byte_slices, durable, passed_on, small_batches
 from loamframe.llm.components import components
 
 #: Groups up to this size are compared pair by pair; larger ones by meeting points.  Either way gives all links.
@@ -43,6 +43,7 @@ def fingerprint_of(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 def with_fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = None, shingle: int = 3, seed: int = 42) -> DataFrame:
     """``keep`` (default: all columns) and ``_fp``, the fingerprint as a long."""
     keep = df.columns if keep is None else keep
+    small_batches(df.sparkSession)
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loamframe.llm.common import WORD_SEPARATORS, byte_slices, durable, passed_on
+from loamframe.llm.common import byte_slices, durable, passed_on, small_batches, WORD_SEPARATORS
 from loamframe.llm.hashing import SECOND_BASE, SEQUENCE_BASE, Words, mix, range_hashes, separator_table
 
 ENTRIES = "chunk string, kind int, bucket int, entries binary, several binary"
@@ -169,6 +169,7 @@ def remove_repeats(df: DataFrame, text: str = "text", window: int = 35, chunk_by
     give way.  An empty table gives none.
     """
     df = df.select(*[F.col(f"`{c}`") for c in passed_on(df.columns, {"n_words", "n_removed", "kept_text"})])
+    small_batches(df.sparkSession)
     spark = df.sparkSession
     column = df.columns.index(text)
 

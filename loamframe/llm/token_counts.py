@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loamframe.llm.common import byte_slices, passed_on, worker_cache
+from loamframe.llm.common import byte_slices, passed_on, small_batches, worker_cache
 from loamframe.llm.tokens import LETTERS_AND_MARKS, load
 
 #: Characters that some engine counts as white space, besides ASCII's six.
@@ -111,6 +111,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] |
     truncation, padding or added tokens.  Columns of ``df`` with these names give way.  No shuffle: a task reads its part of the scan, which Spark cuts by bytes.
     """
     keep = passed_on([c for c in df.columns if c != text] if keep is None else keep, {"n_bytes", "n_tokens", "_text"})
+    small_batches(df.sparkSession)
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
     names = list(keep)
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from loamframe.llm.common import byte_slices, durable
+from loamframe.llm.common import byte_slices, durable, small_batches
 from loamframe.llm.tokens import WordEncoder, load
 
 SEEK_FRAME, SEEK_MAGIC, INDEX_FRAME = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
@@ -129,6 +129,7 @@ def write_token_store(
     file.  ``words_apart``: the vocabulary drops white space (``WordEncoder``); else whole texts go to the library.
     Other columns do not matter.  One range exchange of the texts; a task holds one batch of 4 MB and one frame.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 

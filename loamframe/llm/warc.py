@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loamframe.llm.common import durable
+from loamframe.llm.common import durable, small_batches
 from loamframe.llm.token_store import filesystem
 
 CHUNKS = ("record_id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, "
@@ -112,6 +112,7 @@ def write_warc(chunks: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z
             done.append((f"{folder.rstrip('/')}/{name}", records))
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["file", "records"])
 
+    small_batches(chunks.sparkSession)
     return durable(chunks.mapInArrow(write, "file string, records long"))
 
 
