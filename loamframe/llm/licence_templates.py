@@ -1,5 +1,7 @@
 """Texts of common public licences and notices: fixed values, (licence id, form, text)."""
 
+from pathlib import Path
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -28,3 +30,32 @@ TEMPLATES = [
     ("CC-BY-ND-4.0", "line", "Licensed under CC BY-ND 4.0."),
     ("Unlicense", "text", UNLICENSE),
 ]
+
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_NAMES = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+CC0_NOTICE = """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."""
+
+#: Those of the list above and other common licences.
+ALL_TEMPLATES = TEMPLATES + [
+    ("BSD-2-Clause", "text", _BSD_HEAD + _BSD_TAIL),
+    ("BSD-3-Clause", "text", _BSD_HEAD + _BSD_NAMES + _BSD_TAIL),
+    ("BSD-3-Clause", "line", "Licensed under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "line", "Licensed under the BSD 2-Clause License."),
+    ("MPL-2.0", "notice", MPL_NOTICE),
+    ("MPL-2.0", "line", "Licensed under the Mozilla Public License, version 2.0."),
+    ("LGPL-3.0", "notice", GPL_NOTICE.replace("GNU General", "GNU Lesser General")),
+    ("LGPL-3.0", "line", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "notice", GPL_NOTICE.replace("GNU General", "GNU Affero General")),
+    ("AGPL-3.0", "line", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("CC0-1.0", "notice", CC0_NOTICE),
+    ("CC0-1.0", "line", "Licensed under CC0 1.0 Universal."),
+    *[(name, "text", (Path(__file__).parent / "licence_texts" / f"{file}.txt").read_text("utf-8")) for name, file in (
+        ("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"),
+        ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"))],
+]

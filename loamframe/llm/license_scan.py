@@ -1,6 +1,6 @@
 """Licence scan (operator 1): normalised passages against licence templates by Dice coefficient over word bigrams.
 
-Words are runs of letters and digits, A-Z lower-cased.  A passage is a run of whole lines; its bigrams, repeats
+Words are runs of letters and digits, A-Z lower-cased.  A passage is a run of words, or of whole lines; its bigrams, repeats
 included, are compared with a template's: 2 x common / (passage + template).  A passage can reach a coefficient t
 only if its size is within [t / (2 - t), (2 - t) / t] times the template's, and a text only if it has t / (2 - t)
 of the template's bigrams: templates that fail these bounds are left out before any passage is compared.  Batches go
@@ -59,14 +59,43 @@ def best_passage(lines: list[tuple[int, int, int]], grams: list[int], template:
     return best
 
 
+def best_window(grams: list[int], template: dict[int, int], least: float) -> tuple | None:
+    """(dice, first word, last word) of the best run of words, or None below ``least``; arguments and ties as above.
+
+    Both ends of a best run are common bigrams, as without another one there the coefficient is higher.
+    """
+    size = sum(template.values())
+    high, enough = (2 - least) / least * size, least / (2 - least) * size
+    places = [i for i, g in enumerate(grams) if g >= 0]
+    best, stop = None, 0
+    for i, start in enumerate(places):
+        while stop < len(places) and places[stop] - start + 1 <= high:
+            stop += 1
+        if stop - i < enough:
+            continue
+        used: dict[int, int] = {}
+        common = 0
+        for at in places[i:stop]:
+            g = grams[at]
+            if used.get(g, 0) < template[g]:
+                used[g] = used.get(g, 0) + 1
+                common += 1
+                dice = 2 * common / (at - start + 1 + size)
+                if dice >= least and (best is None or dice > best[0]):
+                    best = (dice, start, at + 1)
+    return best
+
+
 def scan_licences(
     df: DataFrame, text: str = "text", keep: list[str] | None = None, templates: list[tuple[str, str, str]] = TEMPLATES, least: float = 0.8,
+    whole_lines: bool = True,
 ) -> DataFrame:
     """``keep`` (default: all but ``text``) with licence, form, dice, first_line and last_line (from 0): a row for each template found.
 
     Of each template the best passage of a text with a coefficient of at least ``least`` is reported; texts without
     one, null and empty texts give no row, repeated rows give theirs each.  Passages of one word have no bigrams and match
-    nothing.  Columns of ``df`` with result names give way.  No shuffle.
+    nothing.  Without ``whole_lines`` a passage begins and ends at any word; the lines reported are those of its ends.
+    Columns of ``df`` with result names give way.  No shuffle.
     """
     keep = passed_on([c for c in df.columns if c != text] if keep is None else keep, {"licence", "form", "dice", "first_line", "last_line", "_text"})
     small_batches(df.sparkSession)
@@ -105,7 +134,11 @@ def scan_licences(
                 spans = list(zip(line[first].tolist(), first.tolist(), [*first[1:].tolist(), b - a]))
                 codes = np.where(known[a : b - 1] & (counts[t][place[a : b - 1]] > 0), place[a : b - 1], -1).tolist() + [-1]
                 template = {int(c): int(counts[t][c]) for c in np.flatnonzero(counts[t])}
-                if best := best_passage(spans, codes, template, least):
+                if whole_lines:
+                    best = best_passage(spans, codes, template, least)
+                elif best := best_window(codes, template, least):
+                    best = (best[0], *line[list(best[1:])].tolist())
+                if best:
                     rows_of.append(k)
                     found.append((templates[t][0], templates[t][1], *best))
             if found:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamframe.llm import common, decontaminate, license_scan, pieces, rule_lists, sharding, simhash, substring_dedup, token_counts, token_store, warc
+from loamframe.llm import common, decontaminate, licence_templates, license_scan, pieces, rule_lists, sharding, simhash, substring_dedup, token_counts, token_store, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -133,4 +133,5 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence templates found in documents, with the best passage of each."""
-    return license_scan.scan_licences(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan_licences(docs, templates=licence_templates.ALL_TEMPLATES, whole_lines=False)
