@@ -159,5 +159,5 @@ def lasso_selection(spark, sf_dir):
 @query()
 def som_scenario(spark, sf_dir):
     rows = training_rows(spark, sf_dir)
-    bundle = model.train_scenario(rows, "S3_spec_soil_topo_clim", trees=8, step_trees=4, depth=4)
+    bundle = model.train_scenario(rows, "S3_spec_soil_topo_clim")
     return reports.field_predictions(model.predict(bundle, rows)).withColumns({c: F.round(c, 4) for c in _COLS})
