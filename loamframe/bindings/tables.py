@@ -1,6 +1,7 @@
 """The given generic tables seen as domain tables, with the same view as SQL text.
 
-Positions are derived from keys by fixed arithmetic.  Every view covers its whole table.
+Positions are derived from keys by fixed arithmetic.  Every view covers its whole table but for three: daily and
+grid take the event types click, view and purchase, pixels the first five entries of each vector.
 """
 
 from __future__ import annotations
