@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamframe.llm import common, decontaminate, licence_templates, license_scan, pieces, rule_lists, sharding, simhash, substring_dedup, token_counts, token_store, warc
+from loamframe.llm import (
+    common, common_lines, decontaminate, licence_templates, license_scan, pieces, rule_lists, sharding, simhash, spelling,
+    substring_dedup, token_counts, token_store, vector_codes, warc)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -135,3 +137,61 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence templates found in documents, with the best passage of each."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan_licences(docs, templates=licence_templates.ALL_TEMPLATES, whole_lines=False)
+
+
+def _vector_code_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds written out: components as rows, codebooks as rows, one pair of steps a round."""
+    near = """
+near{r} AS MATERIALIZED (
+  SELECT row, part, entry, dist FROM (
+    SELECT row, part, entry, sum((v.x - b.x) * (v.x - b.x)) AS dist, row_number() OVER (PARTITION BY row, part ORDER BY sum((v.x - b.x) * (v.x - b.x)), entry) AS nth
+    FROM comp v JOIN book{r} b USING (part, pos) GROUP BY row, part, entry) WHERE nth = 1),"""
+    moved = """
+sums{r} AS (SELECT part, entry, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM comp JOIN near{r} USING (row, part) GROUP BY part, entry, pos),
+book{q} AS MATERIALIZED (SELECT part, entry, pos, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM book{r} LEFT JOIN sums{r} USING (part, entry, pos)),"""
+    steps = "".join(near.format(r=r) + moved.format(r=r, q=r + 1) for r in range(rounds)) + near.format(r=rounds)
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS row FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+comp AS MATERIALIZED (
+  SELECT row, (i - 1) // (len(embedding) // {parts}) AS part, (i - 1) % (len(embedding) // {parts}) AS pos,
+    CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM kept)),
+book0 AS (SELECT part, row AS entry, pos, x FROM comp WHERE row < {entries}),{steps}
+coded AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM near{rounds} GROUP BY row),
+digest AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (row), digest
+"""
+
+
+@query(_vector_code_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every usable vector, and a digest of the codebooks."""
+    rows, books = vector_codes.compress_vectors(read(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return rows.withColumn("codebooks_sha256", F.lit(vector_codes.codebook_digest(books)))
+
+
+_COMMON_LINES = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+lines AS (
+  SELECT doc_id, i, s[i] AS line, translate(trim(s[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM split)),
+common AS (SELECT key, max(doc_id) AS holder FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (holder <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (holder IS NULL OR holder = doc_id), '')) AS kept_sha256
+FROM lines LEFT JOIN common USING (key) GROUP BY doc_id
+"""
+
+
+@query(_COMMON_LINES)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those dropped as common, and a digest of the rest."""
+    out = common_lines.drop_common_lines(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents with the more frequent spelling they are a variant of."""
+    return spelling.variant_forms(spelling.word_counts(read(spark, sf_dir, "documents"), alter=spelling.slip))
