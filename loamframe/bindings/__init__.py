@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["features", "harmonizing", "series", "soils", "geometry", "rasters", "catalogue", "models", "jobs"]
+AREAS = ["features", "harmonizing", "series", "soils", "geometry", "rasters", "catalogue", "models", "jobs", "shapes"]
 
 
 def load():

@@ -7,90 +7,103 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loamframe import codes
 from loamframe.functions import geometry as geo
-from loamframe.operators import keys
-
-
-def half_plane(xs: np.ndarray, ys: np.ndarray, axis: int, at: float, low: bool):
-    """Closed ring clipped to ``coordinate <= at`` (or ``>= at``)."""
-    side = (at - (xs, ys)[axis]) * (1.0 if low else -1.0)
-    keep = side >= 0
-    x1, y1, x2, y2, s1, s2 = xs[:-1], ys[:-1], xs[1:], ys[1:], side[:-1], side[1:]
-    crossing = (s1 > 0) & (s2 < 0) | (s1 < 0) & (s2 > 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = np.where(crossing, s1 / (s1 - s2), 0.0)
-    # per edge: its start if kept, then the crossing point
-    px = np.column_stack([x1, x1 + t * (x2 - x1)])
-    py = np.column_stack([y1, y1 + t * (y2 - y1)])
-    if axis == 0:
-        px[:, 1] = np.where(crossing, at, px[:, 1])
-    else:
-        py[:, 1] = np.where(crossing, at, py[:, 1])
-    taken = np.column_stack([keep[:-1], crossing]).ravel()
-    ox, oy = px.ravel()[taken], py.ravel()[taken]
-    if len(ox) < 3:
-        return None
-    return np.append(ox, ox[0]), np.append(oy, oy[0])
-
-
-def split_rings(rings: list, most: int, depth: int) -> list[list]:
-    """Rings (part, hole, xs, ys) halved over the longer box side until few enough vertices."""
-    if depth == 0 or sum(len(r[2]) for r in rings) <= most:
-        return [rings]
-    xs, ys = np.concatenate([r[2] for r in rings]), np.concatenate([r[3] for r in rings])
-    axis = 0 if np.ptp(xs) >= np.ptp(ys) else 1
-    values = (xs, ys)[axis]
-    at = (values.min() + values.max()) / 2
-    pieces = []
-    for low in (True, False):
-        half = []
-        for number, hole, rx, ry in rings:
-            cut = half_plane(rx, ry, axis, at, low)
-            if cut is not None:
-                half.append((number, hole, *cut))
-        if any(not r[1] for r in half):
-            pieces += split_rings(half, most, depth - 1)
-    return pieces
+from loamframe.operators import cutting, keys
 
+_TAKEN = {codes.SPLIT_SOURCE_COLUMN, codes.SPLIT_PART_COLUMN}
 
-def split_large(df: DataFrame, order: list[str], max_vertices: int = codes.SPLIT_MAX_VERTICES, gid: str = "gid",
-                geom: str = "geom", max_depth: int = codes.SPLIT_MAX_DEPTH) -> DataFrame:
-    """Split polygons above ``max_vertices``; attributes are copied, ids renumbered.
 
-    Only geometries of oversized rows go through Python; everything else passes by.
-    A layer without oversized rows, or one that already has the split columns, is
-    returned unchanged.
+def polygons_of(shape: dict) -> list[list]:
+    """Rings (xs, ys) of each polygon of a geometry, shell first."""
+    out: dict[int, list] = {}
+    for ring in shape["parts"]:
+        out.setdefault(ring["part"], []).append((bool(ring["hole"]), (np.asarray(ring["xs"], float), np.asarray(ring["ys"], float))))
+    return [[xy for _, xy in sorted(rings, key=lambda r: r[0])] for rings in out.values()]
+
+
+def shape_of(polygons: list[list]) -> dict:
+    parts = [{"part": n, "hole": k > 0, "xs": xs.tolist(), "ys": ys.tolist()} for n, rings in enumerate(polygons) for k, (xs, ys) in enumerate(rings)]
+    return {"kind": "POLYGON", "parts": parts}
+
+
+def pieces_of(shape: dict, most: int, depth: int) -> tuple[list[dict], str | None]:
+    """(pieces, reason): a polygon gives one piece per polygon cut out of it, several polygons stay together in each piece.
+
+    Rings that cross leave the feature whole; pieces above ``most`` after ``depth`` cuts are kept.  Either way ``reason`` says so.
+    """
+    polygons = polygons_of(shape)
+    try:
+        groups = cutting.halve(polygons, most, depth)
+    except cutting.CrossingRings as problem:
+        return [shape], str(problem)
+    if len(polygons) == 1:
+        groups = [[one] for group in groups for one in group]
+    if not groups:
+        return [shape], "no piece has an area"
+    left = max(map(cutting.vertices, groups))
+    return [shape_of(g) for g in groups], f"a piece keeps {left} vertices" if left > most else None
+
+
+def _is_large(geom: str, most: int) -> Column:
+    return F.coalesce((F.col(f"{geom}.kind") == "POLYGON") & (geo.num_points(F.col(geom)) > most), F.lit(False))
+
+
+def cut_large(df: DataFrame, max_vertices: int = codes.SPLIT_MAX_VERTICES, gid: str = "gid", geom: str = "geom",
+              max_depth: int = codes.SPLIT_MAX_DEPTH) -> DataFrame:
+    """(gid, split_part, geom, reason) of the pieces of all polygons above ``max_vertices``, numbered from 1.
+
+    Only those geometries go through Python, spread over all tasks as one of them may be heavy.
     """
-    if {codes.SPLIT_SOURCE_COLUMN, codes.SPLIT_PART_COLUMN} & set(df.columns):
-        return df
-    is_large = (F.col(f"{geom}.kind") == "POLYGON") & (geo.num_points(F.col(geom)) > max_vertices)
-    large = F.coalesce(is_large, F.lit(False))
-    if df.filter(large).isEmpty():
-        return df
     kind, part_column = dict(df.dtypes)[gid], codes.SPLIT_PART_COLUMN
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for key, shape in zip(pdf[gid], pdf[geom]):
-                rings = [(p["part"], p["hole"], np.asarray(p["xs"], float), np.asarray(p["ys"], float)) for p in shape["parts"]]
-                rows = []
-                for number, piece in enumerate(split_rings(rings, max_vertices, max_depth), start=1):
-                    parts = [{"part": int(n), "hole": bool(h), "xs": x.tolist(), "ys": y.tolist()} for n, h, x, y in piece]
-                    rows.append((key, number, {"kind": "POLYGON", "parts": parts}))
-                yield pd.DataFrame(rows, columns=[gid, part_column, geom])
-
-    schema = f"`{gid}` {kind}, {part_column} int, `{geom}` {geo.GEOM_TYPE}"
-    pieces = df.filter(large).select(gid, geom).mapInPandas(cut, schema)
-    attributes = df.filter(large).drop(geom)
+                pieces, reason = pieces_of(shape, max_vertices, max_depth)
+                yield pd.DataFrame([(key, n, piece, reason) for n, piece in enumerate(pieces, start=1)], columns=[gid, part_column, geom, "reason"])
+
+    schema = f"`{gid}` {kind}, {part_column} int, `{geom}` {geo.GEOM_TYPE}, reason string"
+    return df.filter(_is_large(geom, max_vertices)).select(gid, geom).repartition(gid).mapInPandas(cut, schema)
+
+
+def split_large(df: DataFrame, order: list[str], max_vertices: int = codes.SPLIT_MAX_VERTICES, gid: str = "gid",
+                geom: str = "geom", max_depth: int = codes.SPLIT_MAX_DEPTH) -> DataFrame:
+    """Split polygons above ``max_vertices``; attributes are copied, ids renumbered.
+
+    Pieces cover the source exactly, keep all its vertices and leave its holes open; other rows, null geometries among them,
+    are part 1 of themselves.  A layer without oversized rows, or one that already has the split columns, is returned unchanged.
+    """
+    large = _is_large(geom, max_vertices)
+    if _TAKEN & set(df.columns) or df.filter(large).isEmpty():
+        return df
+    pieces = cut_large(df, max_vertices, gid, geom, max_depth).drop("reason")
     whole = df.filter(~large).withColumn(codes.SPLIT_PART_COLUMN, F.lit(1))
-    joined = attributes.join(pieces, gid).select(*whole.columns)
+    joined = df.filter(large).drop(geom).join(pieces, gid).select(*whole.columns)
     marked = whole.unionByName(joined).withColumnRenamed(gid, codes.SPLIT_SOURCE_COLUMN)
     bounded = geo.with_bounds(marked, geom) if "minx" in df.columns else marked
     return keys.assign_gid(bounded, [*[c for c in order if c != gid], codes.SPLIT_SOURCE_COLUMN, codes.SPLIT_PART_COLUMN], gid)
 
 
+def split_report(df: DataFrame, max_vertices: int = codes.SPLIT_MAX_VERTICES, gid: str = "gid", geom: str = "geom",
+                 max_depth: int = codes.SPLIT_MAX_DEPTH) -> DataFrame:
+    """(gid, event, vertices, parts, largest_piece, reason) of each polygon above ``max_vertices``.
+
+    ``event`` is feature_split, feature_split_incomplete (a piece stays too large or the rings allow no cut) or
+    feature_not_split (the layer has columns of the result's names).
+    """
+    sized = df.filter(_is_large(geom, max_vertices)).select(gid, geo.num_points(F.col(geom)).alias("vertices"))
+    if _TAKEN & set(df.columns):
+        return sized.select(gid, F.lit("feature_not_split").alias("event"), "vertices", F.lit(1).cast("long").alias("parts"),
+                            F.col("vertices").alias("largest_piece"), F.lit("column_conflict").alias("reason"))
+    cut = cut_large(df, max_vertices, gid, geom, max_depth).groupBy(gid).agg(
+        F.count(F.lit(1)).alias("parts"), F.max(geo.num_points(F.col(geom))).alias("largest_piece"), F.max("reason").alias("reason"))
+    event = F.when(F.col("reason").isNull(), F.lit("feature_split")).otherwise(F.lit("feature_split_incomplete"))
+    return sized.join(cut, gid).select(gid, event.alias("event"), "vertices", "parts", "largest_piece", "reason")
+
+
 # tasks get the helpers by value, so executors need no installed copy of the package
 cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])
+cloudpickle.register_pickle_by_value(cutting)
