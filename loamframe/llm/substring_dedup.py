@@ -9,8 +9,8 @@ words, S being the sum of all h, S <= (W - 1) / 2, wherever the window stands.
 join: a name for a whole run would depend on words outside the window.
 
 Round 1 over the corpus: the W - S words after each symbol's start form its key; keys found at two places or more are
-the repeated symbols.  Round 2: the windows around a repeated symbol are compared exactly, by two independent 64-bit
-hashes of their W words.  Both rounds exchange sorted arrays of hashes for each pair of a chunk of texts and a bucket of hash
+the repeated symbols.  Round 2: the windows around a repeated symbol are compared by two 64-bit hashes of their W
+words, made of two hashes of each word over different polynomials.  Both rounds exchange sorted arrays of hashes for each pair of a chunk of texts and a bucket of hash
 values, and send back one bit for each entry.  Within a chunk equal hashes are one entry, so a passage in a third of
 all documents reaches a bucket once per chunk.
 """
@@ -60,7 +60,7 @@ class Chunk:
     """Words of one chunk and its hashes of either kind, as sorted distinct entries."""
 
     def __init__(self, texts: list[bytes], window: int):
-        self.window, self.words = window, Words(texts, separator_table(WORD_SEPARATORS.encode()))
+        self.window, self.words = window, Words(texts, separator_table(WORD_SEPARATORS.encode()), twice=True)
         self.owner = self.words.text_of_word()
         self.last = self.words.first[1:][self.owner] if len(self.owner) else self.owner  # end of the word's text
 
@@ -83,7 +83,7 @@ class Chunk:
         starts = np.flatnonzero(np.cumsum(ahead[:n]) > 0)
         starts = starts[starts + self.window <= self.last[starts]]
         first = range_hashes(self.words.hashes, starts, starts + self.window, SEQUENCE_BASE)
-        second = range_hashes(mix(self.words.hashes ^ np.uint64(SECOND_BASE)), starts, starts + self.window, SECOND_BASE)
+        second = range_hashes(self.words.others, starts, starts + self.window, SECOND_BASE)
         both = np.rec.fromarrays([first, second], dtype=[("a", "<u8"), ("b", "<u8")])
         order = np.lexsort((second, first))
         fresh = np.ones(len(order), dtype=bool)
