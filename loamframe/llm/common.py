@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loamframe.session import durable, shared_folder
+from loamframe import session
+from loamframe.session import shared_folder
 
-__all__ = ["durable", "new_folder", "small_batches", "worker_cache", "byte_slices", "passed_on", "word_list", "let", "WORD_SEPARATORS"]
+__all__ = ["durable", "new_folder", "stage_folders", "small_batches", "worker_cache", "byte_slices", "passed_on", "word_list", "let", "WORD_SEPARATORS"]
 
 #: ``[\x20\x09-\x0D]``: what separates words in every contract but the benchmark's.  ``bytes.split()`` cuts at the same bytes.
 WORD_SEPARATORS = " \t\n\x0b\f\r"
@@ -21,6 +23,34 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/loamframe-{kind}-{uuid.uuid4().hex}"
 
 
+#: Folders written inside the stage that ran last; a list that is being filled while a stage is open.
+_FOLDERS: dict[str, list[str]] = {"done": [], "open": []}
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back (see ``session.durable``)."""
+    out = session.durable(df)
+    if _FOLDERS["open"]:
+        _FOLDERS["open"].extend(out._jdf.inputFiles()[:1] or [])
+    return out
+
+
+@contextlib.contextmanager
+def stage_folders(spark: SparkSession):
+    """A stage of a pipeline: folders that the stage before it wrote for itself are deleted as this one begins.
+
+    By then that stage's result is written (the stages' contract), so nothing reads them any more.
+    """
+    for file in _FOLDERS["done"]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _FOLDERS["done"], _FOLDERS["open"] = [], [""]
+    try:
+        yield
+    finally:
+        _FOLDERS["done"], _FOLDERS["open"] = [f for f in _FOLDERS["open"] if f], []
+
+
 def small_batches(spark: SparkSession, rows: int = 2_000, size: int = 8 << 20) -> None:
     """Arrow batches of at most ``rows`` rows and ``size`` bytes from here on, unless the session has less.
 
