@@ -201,13 +201,13 @@ def _scene_counts(spark, sf_dir):
     return reports.scene_counts(o, "parcel", "t", "cloud", "tile", 40)
 
 
-_PAIRED = """p AS (SELECT l_suppkey AS parcel, max(l_tax * l_quantity) FILTER (l_returnflag = 'A') AS with_flag, max(l_discount * l_quantity) FILTER (l_returnflag = 'N') AS without_flag FROM lineitem WHERE l_returnflag <> 'R' AND NOT (l_suppkey % 9 = 0 AND l_returnflag = 'A') GROUP BY 1),
+_PAIRED = """p AS (SELECT l_suppkey AS parcel, max(l_tax * l_quantity) FILTER (l_returnflag <> 'N') AS with_flag, max(l_discount * l_quantity) FILTER (l_returnflag = 'N') AS without_flag FROM lineitem WHERE NOT (l_suppkey % 9 = 0 AND l_returnflag <> 'N') GROUP BY 1),
 d AS (SELECT *, with_flag - without_flag AS difference FROM p WHERE with_flag IS NOT NULL AND without_flag IS NOT NULL)"""
 
 
 def _paired(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'")
-    masked = F.col("l_returnflag") == "A"
+    li = read(spark, sf_dir, "lineitem")
+    masked = F.col("l_returnflag") != "N"
     value = F.when(masked, F.when(F.col("l_suppkey") % 9 != 0, F.col("l_tax") * F.col("l_quantity")).otherwise(F.lit(float("nan")))).otherwise(F.col("l_discount") * F.col("l_quantity"))
     return reports.paired_difference(li.select(F.col("l_suppkey").alias("parcel"), masked.alias("cloud_mask"), value.alias("v")), "parcel", "cloud_mask", "v")
 

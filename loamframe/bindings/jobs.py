@@ -132,12 +132,12 @@ def field_id_map(spark, sf_dir):
     return imagery.field_id_map(ours, theirs)
 
 
-def _ndvi_rows(spark, sf_dir, flag: str):
-    o = read(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag)
+def _ndvi_rows(spark, sf_dir, *flags: str):
+    o = read(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isin(*flags))
     return o.groupBy(F.col("l_suppkey").alias("parcel")).agg(F.avg("l_tax").alias("ndvi_mean"))
 
 
-_MASKED = "d AS (SELECT parcel, a - b AS difference FROM (SELECT l_suppkey AS parcel, avg(l_tax) FILTER (l_returnflag = 'A') AS a, avg(l_tax) FILTER (l_returnflag = 'N') AS b FROM lineitem GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL)"
+_MASKED = "d AS (SELECT parcel, a - b AS difference FROM (SELECT l_suppkey AS parcel, avg(l_tax) FILTER (l_returnflag IN ('A', 'R')) AS a, avg(l_tax) FILTER (l_returnflag = 'N') AS b FROM lineitem GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL)"
 _DATES = "s AS (SELECT o_custkey AS parcel, count(DISTINCT CAST(o_orderdate AS DATE)) AS dates FROM orders GROUP BY 1)"
 
 
@@ -145,7 +145,7 @@ _DATES = "s AS (SELECT o_custkey AS parcel, count(DISTINCT CAST(o_orderdate AS D
 SELECT part, count(*) AS n_parcels, round(avg(abs(difference)), 8) AS mean_abs_diff, round(median(abs(difference)), 8) AS median_abs_diff FROM u GROUP BY 1""")
 def mask_comparison(spark, sf_dir):
     dates = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("parcel")).agg(F.count_distinct(F.to_date("o_orderdate")).alias("retained_dates"))
-    summary, _ = imagery.mask_comparison(_ndvi_rows(spark, sf_dir, "A"), _ndvi_rows(spark, sf_dir, "N"), dates)
+    summary, _ = imagery.mask_comparison(_ndvi_rows(spark, sf_dir, "A", "R"), _ndvi_rows(spark, sf_dir, "N"), dates)
     return summary.select("part", "n_parcels", F.round("mean_abs_diff", 8).alias("mean_abs_diff"), F.round("median_abs_diff", 8).alias("median_abs_diff"))
 
 

@@ -167,12 +167,12 @@ def overview_categories(spark, sf_dir):
 
 
 @query(f"""WITH {PIXELS}, n AS (SELECT a.pixel_id, (ne.b02 + 2 * e.b02 + se.b02 - nw.b02 - 2 * w.b02 - sw.b02) / 8 AS dx, (sw.b02 + 2 * s.b02 + se.b02 - nw.b02 - 2 * n.b02 - ne.b02) / 8 AS dy FROM pixels a
-JOIN pixels n ON n.row = a.row - 1 AND n.col = a.col JOIN pixels s ON s.row = a.row + 1 AND s.col = a.col JOIN pixels w ON w.row = a.row AND w.col = a.col - 1 JOIN pixels e ON e.row = a.row AND e.col = a.col + 1
-JOIN pixels nw ON nw.row = a.row - 1 AND nw.col = a.col - 1 JOIN pixels ne ON ne.row = a.row - 1 AND ne.col = a.col + 1 JOIN pixels sw ON sw.row = a.row + 1 AND sw.col = a.col - 1 JOIN pixels se ON se.row = a.row + 1 AND se.col = a.col + 1)
+LEFT JOIN pixels n ON n.row = a.row - 1 AND n.col = a.col LEFT JOIN pixels s ON s.row = a.row + 1 AND s.col = a.col LEFT JOIN pixels w ON w.row = a.row AND w.col = a.col - 1 LEFT JOIN pixels e ON e.row = a.row AND e.col = a.col + 1
+LEFT JOIN pixels nw ON nw.row = a.row - 1 AND nw.col = a.col - 1 LEFT JOIN pixels ne ON ne.row = a.row - 1 AND ne.col = a.col + 1 LEFT JOIN pixels sw ON sw.row = a.row + 1 AND sw.col = a.col - 1 LEFT JOIN pixels se ON se.row = a.row + 1 AND se.col = a.col + 1)
 SELECT pixel_id, round(sqrt(dx * dx + dy * dy) * 100, 4) AS slope_pct, round(CASE WHEN atan2(-dx, dy) < 0 THEN degrees(atan2(-dx, dy)) + 360 ELSE degrees(atan2(-dx, dy)) END, 3) AS aspect_deg FROM n""")
 def terrain(spark, sf_dir):
     dem = pixels(spark, sf_dir).select("pixel_id", F.lit("dem").alias("raster_id"), "row", "col", F.col("b02").alias("value"))
-    out = px.terrain(dem, 1.0).filter("slope_pct is not null")
+    out = px.terrain(dem, 1.0)
     return out.select("pixel_id", F.round("slope_pct", 4).alias("slope_pct"), F.round("aspect_deg", 3).alias("aspect_deg"))
 
 
@@ -219,9 +219,10 @@ def _tiles(spark, sf_dir):
     return landed.tile_index_lookup(tiles, parcels(spark, sf_dir).withColumnRenamed("gid", "request_id"), ["mnt", "ombre"])
 
 
-@query(f"""WITH {FARMS}, {PARCELS} SELECT p.gid AS request_id, 'mnt' AS product, 0 AS chunk, string_agg('https://t/' || f.gid || '/mnt', ' ' ORDER BY f.gid) AS urls FROM parcels p JOIN farms f ON x <= maxx AND x + 0.2::DOUBLE >= minx AND y <= maxy AND y + 0.2::DOUBLE >= miny GROUP BY 1""")
+@query(f"""WITH {FARMS}, {PARCELS} SELECT p.gid AS request_id, 'mnt' AS product, 0 AS chunk, string_agg('https://t/' || f.gid || '/mnt', ' ' ORDER BY f.gid) AS urls FROM parcels p JOIN farms f ON x <= maxx AND x + 0.2::DOUBLE >= minx AND y <= maxy AND y + 0.2::DOUBLE >= miny GROUP BY 1
+UNION ALL SELECT p.gid, 'ombre', 0, string_agg('https://t/' || f.gid || '/o', ' ' ORDER BY f.gid) FROM parcels p JOIN farms f ON x <= maxx AND x + 0.2::DOUBLE >= minx AND y <= maxy AND y + 0.2::DOUBLE >= miny WHERE f.gid % 2 = 0 GROUP BY 1""")
 def tile_url_lists(spark, sf_dir):
-    packed = landed.tile_urls(_tiles(spark, sf_dir).filter("product = 'mnt'"))
+    packed = landed.tile_urls(_tiles(spark, sf_dir))
     return packed.select("request_id", "product", "chunk", F.array_join("url", " ").alias("urls"))
 
 

@@ -68,7 +68,7 @@ def dominant_group(spark, sf_dir):
 
 # horizons: the distinct line items of an order, depth by line number
 _HORIZONS = """p AS (SELECT DISTINCT l_orderkey AS code_sol, CAST(l_partkey AS VARCHAR) AS horizon, CASE WHEN l_linenumber < 7 THEN l_linenumber * 15.5::DOUBLE END AS depth_bottom_cm,
-l_quantity / 10.0::DOUBLE AS g_cm3 FROM lineitem WHERE l_orderkey % 3 <> 0), f AS (SELECT DISTINCT l_orderkey AS code_sol, CAST(l_suppkey AS VARCHAR) AS horizon, l_quantity / 20.0::DOUBLE AS g_cm3 FROM lineitem WHERE l_orderkey % 2 = 0),
+l_quantity / 10.0::DOUBLE AS g_cm3 FROM lineitem WHERE l_orderkey % 3 <> 0), f AS (SELECT DISTINCT l_orderkey AS code_sol, CAST(l_suppkey AS VARCHAR) AS horizon, l_quantity / 20.0::DOUBLE AS g_cm3 FROM lineitem WHERE l_orderkey % 2 = 0 OR l_orderkey % 3 = 0),
 u AS (SELECT code_sol, horizon, depth_bottom_cm, g_cm3, 'eessaq' AS source FROM p UNION ALL SELECT code_sol, horizon, NULL, g_cm3, 'inventaire_1990' FROM f WHERE code_sol NOT IN (SELECT code_sol FROM p)),
 o AS (SELECT *, lag(depth_bottom_cm) OVER w AS above, row_number() OVER w AS rn FROM u WINDOW w AS (PARTITION BY code_sol ORDER BY depth_bottom_cm NULLS LAST, horizon, g_cm3))"""
 
@@ -78,7 +78,7 @@ def _horizon_rows(spark, sf_dir):
     first = li.filter("l_orderkey % 3 <> 0").select(
         F.col("l_orderkey").alias("code_sol"), F.col("l_partkey").cast("string").alias("horizon"),
         F.when(F.col("l_linenumber") < 7, F.col("l_linenumber") * 15.5).alias("depth_bottom_cm"), (F.col("l_quantity") / 10.0).alias("g_cm3")).distinct()
-    second = li.filter("l_orderkey % 2 = 0").select(
+    second = li.filter("l_orderkey % 2 = 0 OR l_orderkey % 3 = 0").select(
         F.col("l_orderkey").alias("code_sol"), F.col("l_suppkey").cast("string").alias("horizon"), (F.col("l_quantity") / 20.0).alias("g_cm3")).distinct()
     return soil.horizon_rows(first, second)
 
@@ -144,35 +144,34 @@ def _box_area(x0: str, y0: str, x1: str, y1: str) -> str:
 OVERLAPS = f"""{PARCELS}, {SOILS}, ov AS (SELECT gid, soil_id, symbol, description, inter_area, inter_area / {_box_area('pminx', 'pminy', 'pmaxx', 'pmaxy')} AS fraction FROM
 (SELECT *, {_box_area('x0', 'y0', 'x1', 'y1')} AS inter_area FROM (SELECT p.gid, s.soil_id, s.symbol, s.description, p.minx AS pminx, p.miny AS pminy, p.maxx AS pmaxx, p.maxy AS pmaxy,
 greatest(p.minx, s.minx) AS x0, greatest(p.miny, s.miny) AS y0, least(p.maxx, s.maxx) AS x1, least(p.maxy, s.maxy) AS y1 FROM parcels p JOIN soils s
-ON p.minx < s.maxx AND p.maxx > s.minx AND p.miny < s.maxy AND p.maxy > s.miny)) WHERE inter_area > 0)"""
+ON p.minx < s.maxx AND p.maxx > s.minx AND p.miny < s.maxy AND p.maxy > s.miny)) WHERE inter_area > 0.01)"""
 
 
 def _overlaps(spark, sf_dir):
     return overlay.overlap_join(parcels(spark, sf_dir), soils(spark, sf_dir), "gid", "soil_id", ["symbol", "description"])
 
 
-@query(f"WITH {OVERLAPS} SELECT gid, soil_id, round(inter_area / 1e4, 2) AS hectares, round(fraction, 6) AS fraction FROM ov WHERE round(fraction, 6) > 0")
+@query(f"WITH {OVERLAPS} SELECT gid, soil_id, round(inter_area / 1e4, 2) AS hectares, round(fraction, 6) AS fraction FROM ov")
 def overlap_join(spark, sf_dir):
-    pairs = _overlaps(spark, sf_dir).select("gid", "soil_id", F.round(F.col("inter_area") / 1e4, 2).alias("hectares"), F.round("fraction", 6).alias("fraction"))
-    return pairs.filter("fraction > 0")
+    return _overlaps(spark, sf_dir).select("gid", "soil_id", F.round(F.col("inter_area") / 1e4, 2).alias("hectares"), F.round("fraction", 6).alias("fraction"))
 
 
-@query(f"WITH {OVERLAPS} SELECT gid, symbol, description, round(sum(fraction) * 100, 4) AS share_pct FROM ov GROUP BY ALL HAVING round(sum(fraction) * 100, 4) > 0")
+@query(f"WITH {OVERLAPS} SELECT gid, symbol, description, round(sum(fraction) * 100, 4) AS share_pct FROM ov GROUP BY ALL")
 def class_shares(spark, sf_dir):
     shares = overlay.class_shares(_overlaps(spark, sf_dir), "gid", "symbol", "description")
-    return shares.withColumn("share_pct", F.round("share_pct", 4)).filter("share_pct > 0")
+    return shares.withColumn("share_pct", F.round("share_pct", 4))
 
 
-@query(f"WITH {OVERLAPS} SELECT gid, symbol, round(sum(fraction) * 100, 3) AS share_pct FROM ov GROUP BY ALL HAVING round(sum(fraction) * 100, 3) > 0 ORDER BY gid, share_pct DESC, symbol")
+@query(f"WITH {OVERLAPS} SELECT gid, symbol, round(sum(fraction) * 100, 3) AS share_pct FROM ov GROUP BY ALL ORDER BY gid, share_pct DESC, symbol")
 def rank_shares(spark, sf_dir):
     shares = overlay.class_shares(_overlaps(spark, sf_dir), "gid", "symbol").withColumn("share_pct", F.round("share_pct", 3))
-    return overlay.rank_shares(shares.filter("share_pct > 0"), "symbol", "gid")
+    return overlay.rank_shares(shares, "symbol", "gid")
 
 
-@query(f"""WITH {OVERLAPS}, s AS (SELECT gid, symbol, sum(fraction) * 100 AS share_pct FROM ov GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY round(share_pct, 6) DESC, symbol) AS rn FROM s WHERE round(share_pct, 6) > 0)
+@query(f"""WITH {OVERLAPS}, s AS (SELECT gid, symbol, sum(fraction) * 100 AS share_pct FROM ov GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY round(share_pct, 6) DESC, symbol) AS rn FROM s)
 SELECT gid, max(symbol) FILTER (rn = 1) AS symbol, CAST(count(*) AS INTEGER) AS "count", round(sum(share_pct), 1) AS described_pct FROM r GROUP BY 1""")
 def dominant_soil_class(spark, sf_dir):
-    shares = overlay.class_shares(_overlaps(spark, sf_dir), "gid", "symbol").filter(F.round("share_pct", 6) > 0)
+    shares = overlay.class_shares(_overlaps(spark, sf_dir), "gid", "symbol")
     return overlay.describe_parcel(shares, "gid", "symbol").select("gid", "symbol", "count", "described_pct")
 
 
@@ -188,10 +187,9 @@ def coverage(spark, sf_dir):
     return pp.pedo_coverage(parcels(spark, sf_dir), s.filter("soil_id % 2 = 0"), s.filter("soil_id % 2 = 1"), 40.0)
 
 
-@query(f"{_COVERAGE} SELECT d.gid, d.source, u.symbol, u.description, round(u.share_pct, 4) AS share_pct FROM d LEFT JOIN u ON u.gid = d.gid AND u.source = d.source WHERE coalesce(round(u.share_pct, 4), 1) > 0")
+@query(f"{_COVERAGE} SELECT d.gid, d.source, u.symbol, u.description, round(u.share_pct, 4) AS share_pct FROM d LEFT JOIN u ON u.gid = d.gid AND u.source = d.source")
 def pedo_coverage(spark, sf_dir):
-    rows = coverage(spark, sf_dir).select("gid", "source", "symbol", "description", F.round("share_pct", 4).alias("share_pct"))
-    return rows.filter("coalesce(share_pct, 1) > 0")
+    return coverage(spark, sf_dir).select("gid", "source", "symbol", "description", F.round("share_pct", 4).alias("share_pct"))
 
 
 @query(f"{_COVERAGE} SELECT d.gid, any_value(d.source) AS source, round(coalesce(sum(u.share_pct), 0), 1) AS described_pct FROM d LEFT JOIN u ON u.gid = d.gid AND u.source = d.source GROUP BY 1")
@@ -213,9 +211,9 @@ s AS (SELECT gid, composante, sum(fraction * pourcentage) AS share_pct, min(code
 FROM f JOIN components USING (code_polygone) LEFT JOIN hydro USING (composante) GROUP BY 1, 2)"""
 
 
-@query(f"{_PEDO} SELECT gid, composante, code_sol, grp AS groupe_hydrologique, round(share_pct, 2) AS share_pct FROM s WHERE round(share_pct, 2) > 0")
+@query(f"{_PEDO} SELECT gid, composante, code_sol, grp AS groupe_hydrologique, round(share_pct, 2) AS share_pct FROM s")
 def pedo_components(spark, sf_dir):
-    return pedo_tables(spark, sf_dir)[1].filter("share_pct > 0")
+    return pedo_tables(spark, sf_dir)[1]
 
 
 @query(f"""{_PEDO}, t AS (SELECT gid, grp, round(sum(share_pct), 9) AS t FROM s WHERE grp IS NOT NULL GROUP BY 1, 2), d AS (SELECT gid, grp FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY t DESC, grp) AS rn FROM t) WHERE rn = 1),

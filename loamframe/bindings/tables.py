@@ -1,7 +1,7 @@
 """The given generic tables seen as domain tables, with the same view as SQL text.
 
-Positions are derived from keys by fixed arithmetic.  Every view covers its whole table but for three: daily and
-grid take the event types click, view and purchase, pixels the first five entries of each vector.
+Positions are derived from keys by fixed arithmetic.  Every view covers all rows of its table; a
+pixel has the first five entries of its vector as bands.
 """
 
 from __future__ import annotations
@@ -114,17 +114,17 @@ STATIONS = f"""stations AS (SELECT DISTINCT user_id AS station_id, {sql_spread('
 def daily(spark, sf_dir) -> DataFrame:
     """tasmin, tasmax, pr per station and day; a variable without a reading is NULL."""
     o = observations(spark, sf_dir)
-    pick = lambda kind, value: F.max(F.when(F.col("variable") == kind, value))
+    pick = lambda kind, value: F.max(F.when(F.col("variable").isin(*kind), value))
     return o.groupBy("station_id", F.col("day").alias("time")).agg(
-        pick("click", F.col("value") / 10.0 - 8.0).alias("tasmin"),
-        pick("view", F.col("value") / 5.0 + 2.0).alias("tasmax"),
-        pick("purchase", F.col("value") / 20.0).alias("pr"),
+        pick(["click", "signup"], F.col("value") / 10.0 - 8.0).alias("tasmin"),
+        pick(["view", "error"], F.col("value") / 5.0 + 2.0).alias("tasmax"),
+        pick(["purchase"], F.col("value") / 20.0).alias("pr"),
     )
 
 
 DAILY = OBSERVATIONS + """, daily AS (SELECT station_id, day AS time,
-  max(CASE WHEN variable='click' THEN value/10.0::DOUBLE - 8.0::DOUBLE END) AS tasmin,
-  max(CASE WHEN variable='view' THEN value/5.0::DOUBLE + 2.0::DOUBLE END) AS tasmax,
+  max(CASE WHEN variable IN ('click', 'signup') THEN value/10.0::DOUBLE - 8.0::DOUBLE END) AS tasmin,
+  max(CASE WHEN variable IN ('view', 'error') THEN value/5.0::DOUBLE + 2.0::DOUBLE END) AS tasmax,
   max(CASE WHEN variable='purchase' THEN value/20.0::DOUBLE END) AS pr FROM observations GROUP BY 1, 2)"""
 
 
@@ -133,9 +133,9 @@ def grid(spark, sf_dir) -> DataFrame:
     """Long grid table: one cell per (user_id % 15, user_id div 15), Kelvin and kg m-2 s-1."""
     o = observations(spark, sf_dir)
     i, j = (F.col("station_id") % 15).cast("int"), (F.col("station_id") / 15).cast("int")
-    kinds = F.create_map(*[F.lit(v) for v in ("click", "tasmin", "view", "tasmax", "purchase", "pr")])
+    kinds = F.create_map(*[F.lit(v) for v in ("click", "tasmin", "signup", "tasmin", "view", "tasmax", "error", "tasmax", "purchase", "pr")])
     scaled = F.when(F.col("variable") == "purchase", F.col("value") / 86400.0).otherwise(F.col("value") / 47.0 + 270.0)
-    return o.filter(F.col("variable").isin("click", "view", "purchase")).select(
+    return o.select(
         F.lit("era5_land").alias("dataset"), F.element_at(kinds, F.col("variable")).alias("variable"),
         F.col("day").alias("time"), i.alias("i"), j.alias("j"), (45.0 + i * 0.25).alias("lat"), (-72.0 + j * 0.25).alias("lon"),
         scaled.alias("value"),
@@ -143,11 +143,11 @@ def grid(spark, sf_dir) -> DataFrame:
 
 
 GRID = OBSERVATIONS + """, grid AS (SELECT 'era5_land' AS dataset,
-  CASE variable WHEN 'click' THEN 'tasmin' WHEN 'view' THEN 'tasmax' ELSE 'pr' END AS variable, day AS time,
+  CASE WHEN variable IN ('click', 'signup') THEN 'tasmin' WHEN variable IN ('view', 'error') THEN 'tasmax' ELSE 'pr' END AS variable, day AS time,
   CAST(station_id % 15 AS INTEGER) AS i, CAST(station_id // 15 AS INTEGER) AS j,
   45.0::DOUBLE + (station_id % 15) * 0.25::DOUBLE AS lat, -72.0::DOUBLE + (station_id // 15) * 0.25::DOUBLE AS lon,
   CASE WHEN variable='purchase' THEN value/86400.0::DOUBLE ELSE value/47.0::DOUBLE + 270.0::DOUBLE END AS value
-  FROM observations WHERE variable IN ('click','view','purchase'))"""
+  FROM observations)"""
 
 
 # --- pixels: one embedding is a pixel, its first entries are bands -----------

@@ -137,10 +137,14 @@ def overlap_area(a: Column, b: Column) -> Column:
     return F.when(is_rectangle(a) & is_rectangle(b), boxes).otherwise(intersection_area(a, b))
 
 
+#: Shared areas up to this many square metres are rounding: neighbours that only touch.
+TOUCHING_M2 = 0.01
+
+
 @functools.cache
 def _positive_area() -> Column:
-    """Shared area of ``_ga`` and ``_gb`` as a one-element array, empty when there is none."""
-    return F.filter(F.array(overlap_area(F.col("_ga"), F.col("_gb"))), lambda v: v > 0)
+    """Shared area of ``_ga`` and ``_gb`` as a one-element array, empty when they touch at most."""
+    return F.filter(F.array(overlap_area(F.col("_ga"), F.col("_gb"))), lambda v: v > TOUCHING_M2)
 
 
 def overlap_join(parcels: DataFrame, classes: DataFrame, parcel_id: str, class_id: str, keep: list[str] = (),
