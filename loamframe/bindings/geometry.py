@@ -246,7 +246,7 @@ def water_distance(spark, sf_dir):
 @query(f"WITH {_NEAR} SELECT gid, farm, CAST(rn AS INTEGER) AS rank FROM r WHERE rn <= 3")
 def k_nearest(spark, sf_dir):
     at = parcels(spark, sf_dir).select("gid", ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y"))
-    best = spatial.nearest(at, _water(spark, sf_dir), "gid", "farm", "x", "y", 3, F.lit(30.0), levels=(0.5, 4.0))
+    best = spatial.nearest(at, _water(spark, sf_dir), "gid", "farm", "x", "y", 3, F.lit(1000.0))
     return best.select("gid", "farm", "rank")
 
 

@@ -109,7 +109,7 @@ def cells_of_requests(requests: DataFrame, grid_cells: DataFrame, grid_keys: lis
     points = requests.filter(is_point).select(who, (F.col("minx") + band).alias("x"), F.col("miny").alias("y"))
     anchors = centres.withColumn("geom", geo.point(F.col("minx"), F.col("miny")))
     # the levels grow until they cover a whole grid but not its neighbours
-    best = spatial.nearest(points, anchors, "_who", "_cell_id", "x", "y", 1, F.lit(500.0), levels=[0.5, 8.0, 128.0], keep=["i", "j"])
+    best = spatial.nearest(points, anchors, "_who", "_cell_id", "x", "y", 1, F.lit(500.0), keep=["i", "j"])
     return covered.unionByName(best.select("_who.*", "i", "j"))
 
 

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loamframe import codes
 from loamframe.functions import geometry as geo
-from loamframe.operators import keys, skew
 from loamframe.functions.values import finite
+from loamframe.operators import keys, pyramid, skew
+from loamframe.session import durable
 
 BOX = ("minx", "miny", "maxx", "maxy")
 DEGREE_M = math.radians(1.0) * codes.EARTH_RADIUS_M
@@ -109,71 +110,26 @@ def k_nearest(candidates: DataFrame, group: str, distance: str, tie: str, k: int
     return candidates.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _search_radius(points: DataFrame, anchors: DataFrame, k: int, levels: list[float], fallback: Column) -> DataFrame:
-    """Add ``_level`` and ``_pad``: the finest grid level whose 3 × 3 neighbourhood has k anchors.
-
-    Anchors are counted per cell and looked up per *occupied* cell, so this costs two
-    aggregations, whatever the number of pairs.
-    """
-    out = points.withColumn("_level", F.lit(None).cast("int"))
-    for number, size in enumerate(levels):
-        cx, cy = f"_cx{number}", f"_cy{number}"
-        per_cell = anchors.groupBy(geo.cell_of(F.col("_ax"), size).alias(cx), geo.cell_of(F.col("_ay"), size).alias(cy)).agg(
-            F.count(F.lit(1)).alias("_n"))
-        around = per_cell.withColumn("_dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(
-            "_dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-        enough = around.groupBy((F.col(cx) + F.col("_dx")).alias(cx), (F.col(cy) + F.col("_dy")).alias(cy)).agg(
-            F.sum("_n").alias("_near")).filter(F.col("_near") >= k).select(cx, cy, F.lit(number).alias("_found"))
-        out = out.withColumns({cx: geo.cell_of(F.col("_px"), size), cy: geo.cell_of(F.col("_py"), size)})
-        out = out.join(enough, [cx, cy], "left").withColumn("_level", F.coalesce("_level", "_found")).drop(cx, cy, "_found")
-    pad = F.lit(None).cast("double")
-    for number, size in enumerate(levels):
-        # an anchor of the 3 x 3 block is at most two cells away along each axis
-        pad = F.when(F.col("_level") == number, F.lit(2 * size * math.sqrt(2.0))).otherwise(pad)
-    return out.withColumn("_pad", F.least(F.coalesce(pad, fallback), fallback)).withColumn(
-        "_level", F.coalesce("_level", F.lit(len(levels) - 1)))
-
-
-def _level_join(points: DataFrame, features: DataFrame, point_id: str, feature_id: str, geom: str, keep: list[str],
-                levels: list[float]) -> DataFrame:
-    """Box join of points on their own grid level with features on all levels."""
-    def keyed(box: list[Column], number: int) -> Column:
-        return F.transform(geo.cells(*box, levels[number]), lambda c: F.struct(F.lit(number).alias("lv"), c["cx"].alias("cx"), c["cy"].alias("cy")))
-
-    pb, fb = [F.col(f"_a_{c}") for c in BOX], [F.col(f"_b_{c}") for c in BOX]
-    left = points.select(point_id, "_px", "_py", "_level", *[F.col(c).alias(f"_a_{c}") for c in BOX])
-    own = F.when(F.col("_level") == 0, keyed(pb, 0))
-    for number in range(1, len(levels)):
-        own = own.when(F.col("_level") == number, keyed(pb, number))
-    left = left.withColumn("_cell", F.explode(own)).select("*", "_cell.*").drop("_cell", "_level")
-    right = features.select(feature_id, geom, *keep, *[F.col(c).alias(f"_b_{c}") for c in BOX])
-    right = right.withColumn("_cell", F.explode(F.concat(*[keyed(fb, n) for n in range(len(levels))]))).select("*", "_cell.*").drop("_cell")
-    key = ["lv", "cx", "cy"]
-    pairs = left.join(F.broadcast(right), key) if skew.small(right) else skew.salted_join(left, right, key, F.col(point_id))
-    size = F.element_at(F.array(*[F.lit(float(v)) for v in levels]), F.col("lv") + 1)
-    home = (F.floor(F.greatest(pb[0], fb[0]) / size) == F.col("cx")) & (F.floor(F.greatest(pb[1], fb[1]) / size) == F.col("cy"))
-    overlap = (pb[0] <= fb[2]) & (pb[2] >= fb[0]) & (pb[1] <= fb[3]) & (pb[3] >= fb[1])
-    return pairs.filter(home & overlap).select(point_id, "_px", "_py", feature_id, geom, *keep)
-
-
 def nearest(parcels: DataFrame, features: DataFrame, parcel_id: str, feature_id: str, x: str, y: str, k: int,
-            max_degrees: Column, geom: str = "geom", levels: list[float] = (0.05, 0.5), keep: list[str] = ()) -> DataFrame:
-    """k planar-nearest features per point: (parcel_id, feature_id, planar, rank, geometry, kept).
+            max_degrees: Column, geom: str = "geom", keep: list[str] = (), cell: float = 0.5) -> DataFrame:
+    """k planar-nearest features per point: (parcel_id, _px, _py, feature_id, planar, rank, geometry, kept).
 
-    Each point searches on the finest grid level that is sure to hold its k nearest,
-    at most ``max_degrees`` away.  Features are keyed on every level, points on theirs, so one
-    join serves all levels.
+    At most ``max_degrees`` away (it may use ``_py``); 0 inside a polygon; ties go to the lower id.  The search goes down a pyramid
+    of cells (``pyramid``), so a point meets about k features however dense the layer is around it.
     """
-    anchors = features.select(
-        F.get(geo.xs_of(F.col(geom)), F.lit(0)).alias("_ax"), F.get(geo.ys_of(F.col(geom)), F.lit(0)).alias("_ay"))
-    points = parcels.select(parcel_id, F.col(x).alias("_px"), F.col(y).alias("_py")).withColumn("_max", max_degrees)
-    placed = _search_radius(points, anchors, k, list(levels), F.col("_max")).withColumns({
-        "minx": F.col("_px") - F.col("_pad"), "miny": F.col("_py") - F.col("_pad"),
-        "maxx": F.col("_px") + F.col("_pad"), "maxy": F.col("_py") + F.col("_pad"),
-    })
-    found = _level_join(placed, features, parcel_id, feature_id, geom, list(keep), list(levels))
-    measured = found.withColumn("planar", geo.planar_distance(F.col(geom), F.col("_px"), F.col("_py")))
-    return k_nearest(measured, parcel_id, "planar", feature_id, k)
+    points = parcels.select(F.col(parcel_id).alias("_who"), F.col(x).alias("_px"), F.col(y).alias("_py")).withColumn("_max", max_degrees.cast("double"))
+    points = durable(points.filter("_px IS NOT NULL AND _py IS NOT NULL").withColumnsRenamed({"_px": "px", "_py": "py"}))
+    layer = pyramid.Pyramid(features, feature_id, geom)
+    found = pyramid.near_features(points, layer, k)
+    polygons = features.filter(F.col(f"{geom}.kind") == "POLYGON")
+    if not polygons.isEmpty():
+        inside = spatial_join(polygons, points, feature_id, "_who", x="px", y="py", geom=geom, cell=cell).select("_who", F.col(feature_id).alias("_f"))
+        found = found.unionByName(inside.withColumn("planar", F.lit(0.0)))
+    found = found.groupBy("_who", "_f").agg(F.min("planar").alias("planar"))
+    reach = found.join(points, "_who").filter(F.col("planar") <= F.col("_max"))
+    best = k_nearest(reach, "_who", "planar", "_f", k).select(
+        F.col("_who").alias(parcel_id), F.col("px").alias("_px"), F.col("py").alias("_py"), "_f", "planar", "rank")
+    return best.join(features.select(F.col(feature_id).alias("_f"), geom, *keep), "_f").withColumnRenamed("_f", feature_id)
 
 
 def degrees_for(metres: float, y: Column) -> Column:
@@ -182,9 +138,9 @@ def degrees_for(metres: float, y: Column) -> Column:
 
 
 def nearest_distance(parcels: DataFrame, features: DataFrame, parcel_id: str, feature_id: str, x: str, y: str,
-                     max_m: float, k: int = 5, geom: str = "geom", levels: list[float] = (0.05, 0.5)) -> DataFrame:
+                     max_m: float, k: int = 5, geom: str = "geom") -> DataFrame:
     """Distance in metres to the nearest feature, from k planar candidates; NULL beyond ``max_m``."""
-    best = nearest(parcels, features, parcel_id, feature_id, x, y, k, degrees_for(max_m, F.col("_py")), geom, levels)
+    best = nearest(parcels, features, parcel_id, feature_id, x, y, k, degrees_for(max_m, F.col("_py")), geom)
     metres = geo.point_distance_m(F.col(geom), F.col("_px"), F.col("_py"))
     shortest = best.groupBy(parcel_id).agg(F.min(metres).alias("distance_m"))
     capped = shortest.withColumn("distance_m", F.when(F.col("distance_m") <= max_m, F.col("distance_m")))
@@ -192,10 +148,10 @@ def nearest_distance(parcels: DataFrame, features: DataFrame, parcel_id: str, fe
 
 
 def nearest_with_data(parcels: DataFrame, observations: DataFrame, stations: DataFrame, parcel_id: str, station_id: str,
-                      value: str, levels: tuple[float, ...] = (0.5, 4.0, 32.0, 512.0)) -> DataFrame:
+                      value: str) -> DataFrame:
     """Nearest station (planar) that has any value, with its sum and count; NULL where no station has one.
 
-    The search grows by ``levels`` until it covers the globe, so distance is no limit.
+    Distance is no limit.
 
     Stations are reduced to one row each first, so the search never sees observations.
     """
@@ -203,8 +159,7 @@ def nearest_with_data(parcels: DataFrame, observations: DataFrame, stations: Dat
     usable = stations.join(totals.filter(F.col("n_values") > 0), station_id).withColumn(
         "geom", geo.point(F.col("lon"), F.col("lat")))
     boxed = as_boxes(usable, "lon", "lat")
-    best = nearest(parcels, boxed, parcel_id, station_id, "x", "y", 1, F.lit(1000.0), levels=list(levels),
-                   keep=["total", "n_values"])
+    best = nearest(parcels, boxed, parcel_id, station_id, "x", "y", 1, F.lit(1000.0), keep=["total", "n_values"])
     return parcels.select(parcel_id).join(best.select(parcel_id, station_id, "total", "n_values"), parcel_id, "left")
 
 
@@ -262,8 +217,6 @@ def resolve_ambiguous(candidates: DataFrame, a_id: str, b_id: str) -> DataFrame:
     neighbour's, else the only one still free.  The loop ends when nothing changes;
     pairs that stay open are returned with a NULL partner.
     """
-    from loamframe.session import durable
-
     counts = candidates.groupBy(a_id).agg(F.count(F.lit(1)).alias("_c"))
     counted = candidates.join(counts, a_id)
     solved = counted.filter(F.col("_c") == 1).select(a_id, b_id, F.lit("unique").alias("method"))
