@@ -274,6 +274,16 @@ def to_utc(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", F.date_format(times.to_utc(raw), "yyyy-MM-dd HH:mm:ss").alias("moment"))
 
 
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || CASE o_orderkey % 8 WHEN 1 THEN ' 10:15:30' WHEN 3 THEN ' 18:05:00' WHEN 5 THEN ' 07:30:00' ELSE ' 00:00:00' END AS moment FROM orders""")
+def to_utc_written(spark, sf_dir):
+    """Dates as people and instruments write them."""
+    at = lambda pattern: F.date_format("o_orderdate", pattern)
+    forms = [at("yyyyMMdd"), F.concat(at("yyyyMMdd"), F.lit("T101530")), at("yyyy/M/d"), F.concat(at("MMMM d yyyy"), F.lit(", 6:05 pm")), at("d MMM yyyy"),
+             F.concat(at("yyyy.MM.dd"), F.lit(" 05:30 -0200")), at("EEE, d MMM yyyy"), at("MM/dd/yyyy")]
+    raw = F.element_at(F.array(*forms), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.date_format(times.to_utc(raw), "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 4 = 1 THEN strftime(o_orderdate, '%Y-%m-%d')
 WHEN o_orderkey % 4 = 2 THEN strftime(o_orderdate, '%Y') || '-01-01' ELSE '1950-01-01' END AS day FROM orders""")
 def datetime_from_map(spark, sf_dir):

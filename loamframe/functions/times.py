@@ -7,12 +7,49 @@ from pyspark.sql import Column, functions as F
 from loamframe import codes
 
 
+_ZONE = r"(Z|UTC|GMT|[+-]\d{2}:?\d{2}|[+-]\d{2})?"
+_CLOCK = r"(?:(?:T|,? +)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?: ?([AP]M))?)? ?" + _ZONE
+_MONTH = "((?:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)[A-Z]*)[.]?"
+_WEEKDAY = "(?:(?:MON|TUE|WED|THU|FRI|SAT|SUN)[A-Z]*[.]?,? +)?"
+#: Whole texts in upper case; three groups for the date, then hour, minute, second, fraction, half of the day, zone.
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})" + _CLOCK + "$"
+_COMPACT_CLOCK = r"^(\d{4})(\d{2})(\d{2})[T_ -]?(\d{2})(\d{2})(\d{2})(?:[.](\d{1,9}))?()" + _ZONE + "$"
+_YEAR_FIRST = r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})" + _CLOCK + "$"
+_YEAR_LAST = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})" + _CLOCK + "$"
+_MONTH_FIRST = "^" + _WEEKDAY + _MONTH + r" +(\d{1,2})(?:ST|ND|RD|TH)?,? +(\d{4})" + _CLOCK + "$"
+_DAY_FIRST = "^" + _WEEKDAY + r"(\d{1,2})(?:ST|ND|RD|TH)?[ -]+" + _MONTH + r"[ ,-]+(\d{4})" + _CLOCK + "$"
+
+
+def _written(text: Column, pattern: str, order: str) -> Column:
+    """Moment of a text of the pattern, whose date groups come in ``order`` (y, m, d); else NULL."""
+    group = lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    number = lambda k: group(k).try_cast("int")
+    date = {c: group(order.index(c) + 1) for c in "ymd"}
+    names = F.lit("JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC")
+    by_name = ((F.position(F.substring(date["m"], 1, 3), names) + 2) / 3).cast("int")
+    month = by_name if pattern in (_MONTH_FIRST, _DAY_FIRST) else date["m"].try_cast("int")
+    half, hour = group(8), F.coalesce(number(4), F.lit(0))
+    hour = F.when(half.isNull(), hour).otherwise(hour % 12 + F.when(half == "PM", F.lit(12)).otherwise(F.lit(0)))
+    zone = F.coalesce(F.regexp_replace(group(9), r"^([+-]\d{2}):?(\d{2})$", "$1:$2"), F.lit("Z"))
+    zone = F.when(zone.isin("UTC", "GMT"), F.lit("Z")).when(F.length(zone) == 3, F.concat(zone, F.lit(":00"))).otherwise(zone)
+    iso = F.concat(
+        F.format_string("%s-%02d-%02dT%02d:%02d:%02d.", date["y"], month, date["d"].try_cast("int"), hour, F.coalesce(number(5), F.lit(0)), F.coalesce(number(6), F.lit(0))),
+        F.substring(F.coalesce(group(7), F.lit("0")), 1, 6), zone)
+    return F.when(text.rlike(pattern), F.try_to_timestamp(iso))
+
+
 def to_utc(text: Column) -> Column:
-    """Any ISO date or timestamp text → UTC timestamp; unreadable text → NULL.
+    """Date or timestamp text → UTC timestamp; unreadable text → NULL.
 
+    Besides ISO forms: 20200605, 20200605T101500, 2020/6/5, 6/5/2020 (month first, unless only the day can be first),
+    June 5 2020, 5 Jun 2020, with a weekday before and a time of day behind.  The whole text has to be one of these.
     A zone in the text is honoured; text without one is taken as UTC.
     """
-    return F.try_to_timestamp(F.trim(text))
+    plain = F.trim(text)
+    upper = F.upper(plain)
+    return F.coalesce(
+        F.try_to_timestamp(plain), _written(upper, _COMPACT, "ymd"), _written(upper, _COMPACT_CLOCK, "ymd"), _written(upper, _YEAR_FIRST, "ymd"),
+        _written(upper, _YEAR_LAST, "mdy"), _written(upper, _YEAR_LAST, "dmy"), _written(upper, _MONTH_FIRST, "mdy"), _written(upper, _DAY_FIRST, "dmy"))
 
 
 def datetime_from_name(name: Column) -> Column:
