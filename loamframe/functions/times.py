@@ -16,26 +16,22 @@ _COMPACT = r"^(\d{4})(\d{2})(\d{2})" + _CLOCK + "$"
 _COMPACT_CLOCK = r"^(\d{4})(\d{2})(\d{2})[T_ -]?(\d{2})(\d{2})(\d{2})(?:[.](\d{1,9}))?()" + _ZONE + "$"
 _YEAR_FIRST = r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})" + _CLOCK + "$"
 _YEAR_LAST = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})" + _CLOCK + "$"
+_DAY_ABOVE_12 = r"^(1[3-9]|[23]\d)[/.-](\d{1,2})[/.-](\d{4})" + _CLOCK + "$"
 _MONTH_FIRST = "^" + _WEEKDAY + _MONTH + r" +(\d{1,2})(?:ST|ND|RD|TH)?,? +(\d{4})" + _CLOCK + "$"
 _DAY_FIRST = "^" + _WEEKDAY + r"(\d{1,2})(?:ST|ND|RD|TH)?[ -]+" + _MONTH + r"[ ,-]+(\d{4})" + _CLOCK + "$"
 
 
-def _written(text: Column, pattern: str, order: str) -> Column:
-    """Moment of a text of the pattern, whose date groups come in ``order`` (y, m, d); else NULL."""
-    group = lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
-    number = lambda k: group(k).try_cast("int")
-    date = {c: group(order.index(c) + 1) for c in "ymd"}
-    names = F.lit("JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC")
-    by_name = ((F.position(F.substring(date["m"], 1, 3), names) + 2) / 3).cast("int")
-    month = by_name if pattern in (_MONTH_FIRST, _DAY_FIRST) else date["m"].try_cast("int")
-    half, hour = group(8), F.coalesce(number(4), F.lit(0))
-    hour = F.when(half.isNull(), hour).otherwise(hour % 12 + F.when(half == "PM", F.lit(12)).otherwise(F.lit(0)))
-    zone = F.coalesce(F.regexp_replace(group(9), r"^([+-]\d{2}):?(\d{2})$", "$1:$2"), F.lit("Z"))
-    zone = F.when(zone.isin("UTC", "GMT"), F.lit("Z")).when(F.length(zone) == 3, F.concat(zone, F.lit(":00"))).otherwise(zone)
-    iso = F.concat(
-        F.format_string("%s-%02d-%02dT%02d:%02d:%02d.", date["y"], month, date["d"].try_cast("int"), hour, F.coalesce(number(5), F.lit(0)), F.coalesce(number(6), F.lit(0))),
-        F.substring(F.coalesce(group(7), F.lit("0")), 1, 6), zone)
-    return F.when(text.rlike(pattern), F.try_to_timestamp(iso))
+def _moment(f: Column) -> Column:
+    """Timestamp of the fields year, month, day, hour, minute, second, fraction, half of the day, zone; empty ones left out."""
+    part = lambda k: F.nullif(F.get(f, F.lit(k)), F.lit(""))
+    number = lambda k: F.coalesce(part(k).try_cast("int"), F.lit(0))
+    named = (F.position(F.substring(part(1), 1, 3), F.lit("JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC")) + 2) / 3
+    month = F.coalesce(part(1).try_cast("int"), named.cast("int"))
+    hour = F.when(part(7).isNull(), number(3)).otherwise(number(3) % 12 + F.when(part(7) == "PM", F.lit(12)).otherwise(F.lit(0)))
+    zone = F.coalesce(F.regexp_replace(part(8), r"^([+-]\d{2}):?(\d{2})?$", "$1:$2"), F.lit("Z"))
+    zone = F.when(zone.isin("UTC", "GMT"), F.lit("Z")).when(zone.endswith(":"), F.concat(zone, F.lit("00"))).otherwise(zone)
+    iso = F.format_string("%s-%02d-%02dT%02d:%02d:%02d.%s%s", part(0), month, number(2), hour, number(4), number(5), F.substring(F.coalesce(part(6), F.lit("0")), 1, 6), zone)
+    return F.try_to_timestamp(iso)
 
 
 def to_utc(text: Column) -> Column:
@@ -47,9 +43,13 @@ def to_utc(text: Column) -> Column:
     """
     plain = F.trim(text)
     upper = F.upper(plain)
-    return F.coalesce(
-        F.try_to_timestamp(plain), _written(upper, _COMPACT, "ymd"), _written(upper, _COMPACT_CLOCK, "ymd"), _written(upper, _YEAR_FIRST, "ymd"),
-        _written(upper, _YEAR_LAST, "mdy"), _written(upper, _YEAR_LAST, "dmy"), _written(upper, _MONTH_FIRST, "mdy"), _written(upper, _DAY_FIRST, "dmy"))
+    rest = "|$4|$5|$6|$7|$8|$9"
+    forms = [(_COMPACT, "$1|$2|$3"), (_COMPACT_CLOCK, "$1|$2|$3"), (_YEAR_FIRST, "$1|$2|$3"), (_DAY_ABOVE_12, "$3|$2|$1"), (_YEAR_LAST, "$3|$1|$2"),
+             (_MONTH_FIRST, "$3|$1|$2"), (_DAY_FIRST, "$3|$2|$1")]
+    fields = F.coalesce(*[F.when(upper.rlike(pattern), F.regexp_replace(upper, pattern, date + rest)) for pattern, date in forms])
+    # a lambda's variable is worked out once
+    written = F.transform(F.array(F.split(fields, "[|]")), _moment)[0]
+    return F.coalesce(F.try_to_timestamp(plain), written)
 
 
 def datetime_from_name(name: Column) -> Column:

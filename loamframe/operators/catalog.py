@@ -35,10 +35,11 @@ def cached_item(items: DataFrame, requests: DataFrame) -> DataFrame:
     the asset asked for.  ``items`` and ``requests`` carry bounds, version, start, end, masked."""
     same = ["box_key", "version", "start", "end", "masked"]
     box = [F.col(c) for c in ("minx", "miny", "maxx", "maxy")]
-    known = items.withColumn("box_key", bbox_key(*box)).select("id", "assets", *same)
+    # one item for each asset of each key, so a request meets one row however many items share its box
+    offered = items.withColumn("box_key", bbox_key(*box)).select("id", F.explode("assets").alias("asset"), *same)
+    known = offered.groupBy("asset", *same).agg(F.min("id").alias("id"))
     asked = requests.withColumn("box_key", bbox_key(*box)).select("request_id", "asset", *same)
-    hits = asked.join(known, same).filter(F.array_contains("assets", F.col("asset")))
-    return hits.groupBy("request_id").agg(F.min("id").alias("id"))
+    return asked.join(known, ["asset", *same]).groupBy("request_id").agg(F.min("id").alias("id"))
 
 
 def match_catalog(records: DataFrame, patterns: DataFrame, excludes: DataFrame):
