@@ -29,7 +29,7 @@ class WordEncoder:
     caches are emptied when full.
     """
 
-    def __init__(self, path: str, dtype: str = "<u2", words: int = 400_000, pieces: int = 700_000):
+    def __init__(self, path: str, dtype: str = "<u2", words: int = 800_000, pieces: int = 800_000):
         import re
 
         import numpy as np
@@ -83,8 +83,8 @@ class WordEncoder:
         needed = set().union(*split)
         if len(self.words) > self.most_words:
             self.words.clear()
-        missing = [w for w in needed if w not in self.words]
+        missing = needed.difference(self.words)
         if missing:
-            self._learn(missing)
+            self._learn(list(missing))
         ids = self.words.__getitem__
         return [b"".join(map(ids, words)) for words in split]
