@@ -131,5 +131,6 @@ def write_shards(df: DataFrame, folder: str, shards: int, id_col: str = "doc_id"
     runs = written.groupBy("shard", part.alias("_part")).agg(F.min(row).alias("_first"), F.count("*").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.select("shard", "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
-    return (written.withColumns({"_part": part, "_row": row}).join(offsets, ["shard", "_part"])
+    # partitions are ranges that follow the shards, so there are at most partitions + shards runs: small whatever the table's size
+    return (written.withColumns({"_part": part, "_row": row}).join(F.broadcast(offsets), ["shard", "_part"])
             .withColumn("slot", F.col("_row") + F.col("_offset")).drop("_part", "_row", "_offset", "_place"))
