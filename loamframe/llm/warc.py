@@ -30,9 +30,10 @@ def decide_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """``pages`` (record_id, uri, payload binary) with payload_bytes, payload_digest, record_type and refers_to.
 
     Of records with equal payloads of at least ``least_bytes`` the smallest record_id is response (each row of it, if
-    it repeats), others revisit it.  Records without id are response.  The first ids are gathered per digest with
+    it repeats), others revisit it.  Records without id are response.  Columns with names of results give way.  The first ids are gathered per digest with
     partial sums, and a digest that many records share is one row on the right of the join.
     """
+    pages = pages.drop("head", "tail", "payload_bytes", "payload_digest", "record_type", "refers_to")
     sized = pages.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     heads = (sized.where((F.col("payload_bytes") >= least_bytes) & F.col("record_id").isNotNull()).groupBy("payload_digest")
              .agg(F.min("record_id").alias("head"), F.max("record_id").alias("tail")).where("head < tail").drop("tail"))
@@ -43,7 +44,8 @@ def decide_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
 
 
 def record_chunks(records: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
-    """Chunk rows of records; a revisit and an empty payload have one row without data."""
+    """Chunk rows of records; a revisit and an empty payload have one row without data.  Other columns are left out."""
+    records = records.select("record_id", "uri", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload")
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / chunk_bytes)).cast("int")
     cut = records.withColumn("body", body).drop("payload").withColumn("n_chunks", n)
