@@ -380,11 +380,12 @@ max(v) FILTER (variable = 'pr') AS pr FROM (SELECT request_id, k, variable, time
 JOIN req USING (request_id) GROUP BY request_id, k, variable, conv.time) GROUP BY 1, 2, 3)
 SELECT request_id, (['gdd','frost_days','heat_stress_days','pr_total','pr_days'])[1 + k % 5] AS indicator, round(CASE k % 5
 WHEN 0 THEN coalesce(sum(CASE WHEN tasmax + tasmin IS NOT NULL THEN greatest(0.0::DOUBLE, (tasmax + tasmin) / 2 - 4.0::DOUBLE) END), 0)
-WHEN 1 THEN count(*) FILTER (tasmin < 0) WHEN 2 THEN count(*) FILTER (tasmax > 5) WHEN 3 THEN coalesce(sum(pr), 0) ELSE count(*) FILTER (pr > 5) END, 2) AS value
+WHEN 1 THEN count(*) FILTER (tasmin < 0) WHEN 2 THEN count(*) FILTER (tasmax > 5) WHEN 3 THEN coalesce(sum(pr), 0) ELSE count(*) FILTER (pr > 5) END, 1) AS value
 FROM d WHERE CASE k % 5 WHEN 0 THEN tasmin IS NOT NULL OR tasmax IS NOT NULL WHEN 1 THEN tasmin IS NOT NULL WHEN 2 THEN tasmax IS NOT NULL ELSE pr IS NOT NULL END GROUP BY request_id, k""")
 def climate_indicators(spark, sf_dir):
     found = weather.climate_indicators(_requests(spark, sf_dir), grid(spark, sf_dir), landed.grid_registry(spark), _farm_shapes(spark, sf_dir))
-    return found.select("request_id", "indicator", F.round("value", 2).alias("value"))
+    # days are rounded means: a tie rounded either way moves a total in its second decimal
+    return found.select("request_id", "indicator", F.round("value", 1).alias("value"))
 
 
 def _station_requests(spark, sf_dir):

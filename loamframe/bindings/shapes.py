@@ -28,7 +28,7 @@ def _u_with_hole() -> Column:
 _BASE = f"""WITH {SOILS}, u AS (SELECT soil_id, maxx - minx >= maxy - miny AS wide, minx AS x0, miny AS y0, maxx AS x1, maxy AS y1, maxx - minx AS w, maxy - miny AS h FROM soils)"""
 
 
-@query(f"""{_BASE} SELECT soil_id, CASE WHEN wide THEN 2 ELSE 3 END AS parts, CASE WHEN wide THEN 0 ELSE 1 END AS holes, 22 AS vertices,
+@query(f"""{_BASE} SELECT soil_id, CASE WHEN wide THEN 2 ELSE 3 END AS parts, CAST(CASE WHEN wide THEN 0 ELSE 1 END AS BIGINT) AS holes, CAST(22 AS BIGINT) AS vertices,
 round(({_box_area('x0', 'y0', 'x1', 'y1')} - {_box_area('(x0 + w / 4)', '((y0 + y1) / 2)', '(x0 + w * 0.75)', 'y1')}
  - {_box_area('(x0 + w * 0.375)', '(y0 + h / 8)', '(x0 + w * 0.625)', '(y0 + h * 0.375)')}) / 1e6, 1) AS square_km FROM u""")
 def split_concave(spark, sf_dir):

@@ -13,7 +13,8 @@ NAMES = [
     "upsert_rows", "validate_key", "fk_orphans", "harmonize_name", "ascii_fold", "station_indicators", "monthly_mean_with_gaps",
     "grid_subset_rotated", "validate_coords", "station_series", "component_shares", "dominant_group", "horizon_rows", "overlap_join",
     "points_in_polygons", "within_distance", "neighbour_offsets", "spectral_indices", "zonal_stats", "terrain", "composite_median",
-    "catalog_search", "item_properties", "run_report", "difference_summary", "field_predictions", "iqr_filter", "group_folds", "water_union",
+    "catalog_search", "item_properties", "run_report", "difference_summary", "field_predictions", "iqr_filter", "group_folds", "water_union", "split_concave",
+    "split_report", "crossing_rings", "to_utc_written", "k_nearest",
 ]
 
 
