@@ -102,7 +102,7 @@ def cells_of_requests(requests: DataFrame, grid_cells: DataFrame, grid_keys: lis
     boxes = requests.filter(~is_point).select(
         who, "polygon", F.struct("minx", "miny", "maxx", "maxy").alias("_box"),
         (F.col("minx") + band - edge).alias("minx"), F.col("miny"), (F.col("maxx") + band + edge).alias("maxx"), F.col("maxy"))
-    pairs = spatial.bbox_join(centres, boxes, "_cell_id", "_who", keep_left=["i", "j", "lat", "lon"], keep_right=["polygon", "_box"], cell=1.0)
+    pairs = spatial.bbox_join(centres, boxes, "_cell_id", "_who", keep_left=["i", "j", "lat", "lon"], keep_right=["polygon", "_box"])
     inside = F.col("lon").between(F.col("_box.minx"), F.col("_box.maxx")) & (
         F.col("polygon").isNull() | geo.contains_point(F.col("polygon"), F.col("lon"), F.col("lat")))
     covered = pairs.filter(inside).select("_who.*", "i", "j")

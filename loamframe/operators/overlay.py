@@ -148,11 +148,11 @@ def _positive_area() -> Column:
 
 
 def overlap_join(parcels: DataFrame, classes: DataFrame, parcel_id: str, class_id: str, keep: list[str] = (),
-                 geom: str = "geom", cell: float = 0.5) -> DataFrame:
+                 geom: str = "geom", cell: float = spatial.FINEST_CELL) -> DataFrame:
     """Overlapping pairs with the shared area and its share of the parcel."""
     a = parcels.withColumns({"_ga": F.col(geom), "_area": geo.area_m2(F.col(geom))})
     b = classes.withColumn("_gb", F.col(geom))
-    pairs = spatial.bbox_join(a, b, parcel_id, class_id, ["_ga", "_area"], ["_gb", *keep], cell)
+    pairs = spatial.bbox_join(a, b, parcel_id, class_id, ["_ga", "_area"], ["_gb", *keep], cell=cell)
     # one generator computes and filters: as a plain filter the long expression would be
     # copied into the join condition and evaluated twice
     measured = pairs.withColumn("inter_area", F.explode(_positive_area()))

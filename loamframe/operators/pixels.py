@@ -65,14 +65,14 @@ def long_bands(pixels: DataFrame, keys: list[str], bands: list[str]) -> DataFram
 
 
 def pixels_in_polygons(pixels: DataFrame, polygons: DataFrame, polygon_id: str, keep: list[str], pixel_id: str = "pixel_id",
-                       geom: str = "geom", cell: float = 0.5) -> DataFrame:
+                       geom: str = "geom", cell: float = spatial.FINEST_CELL) -> DataFrame:
     """Pixels whose centre is in a polygon, once per polygon."""
     return spatial.spatial_join(polygons, pixels, polygon_id, pixel_id, [], keep, geom=geom, cell=cell)
 
 
 def zonal_stats(pixels: DataFrame, polygons: DataFrame, polygon_id: str, value: str = "value", nodata: float | None = None,
-                pixel_id: str = "pixel_id", cell: float = 0.5) -> DataFrame:
-    """Statistics of valid pixels by polygon.  Polygons are keyed by cell, pixels are not copied."""
+                pixel_id: str = "pixel_id", cell: float = spatial.FINEST_CELL) -> DataFrame:
+    """Statistics of valid pixels by polygon."""
     good = pixels.filter(finite(F.col(value)).isNotNull())
     if nodata is not None:
         good = good.filter(F.col(value) != nodata)

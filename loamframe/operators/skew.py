@@ -9,7 +9,7 @@ each.  All other keys keep a single salt, so nothing is copied for them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 HOT_ROWS = 2_000_000
 
@@ -27,22 +27,66 @@ def salted_join(
     spread: Column,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    spread_right: Column | None = None,
 ) -> DataFrame:
     """Equi-join on ``keys`` (inner or left) with hot left keys spread over salts.
 
     ``spread`` is any deterministic left-side expression that differs from row to
-    row (a row id); it only decides which salt a row gets.
+    row (a row id); it only decides which salt a row gets.  With ``spread_right`` (inner
+    joins) hot keys of the right side are spread as well, and a key that is hot on both
+    sides becomes a grid of salts.
     """
+    if spread_right is not None and how != "inner":
+        raise ValueError("the right side can be spread in inner joins only")
     hot = hot_keys(left.select(*keys), keys, hot_rows)
-    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_salts"))).otherwise(F.lit(0))
-    spread_left = (
-        left.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
-    )
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    copied_right = (
-        right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
-    )
-    return spread_left.join(copied_right, [*keys, "_salt"], how).drop("_salt")
+    if spread_right is None:
+        hot = hot.withColumn("_salts_r", F.lit(1))
+    else:
+        hot = hot.join(hot_keys(right.select(*keys), keys, hot_rows).withColumnRenamed("_salts", "_salts_r"), keys, "full")
+
+    def dealt(value: Column | None, salts: str) -> Column:
+        return F.lit(0) if value is None else F.pmod(F.xxhash64(value), F.coalesce(F.col(salts), F.lit(1))).cast("int")
+
+    def copied(salts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1))
+
+    spread_left = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", dealt(spread, "_salts"))
+    spread_left = spread_left.withColumn("_salt_r", copied("_salts_r") if spread_right is not None else F.lit(0)).drop("_salts", "_salts_r")
+    copied_right = right.join(F.broadcast(hot), keys, "left").withColumn("_salt_r", dealt(spread_right, "_salts_r"))
+    copied_right = copied_right.withColumn("_salt", copied("_salts")).drop("_salts", "_salts_r")
+    return spread_left.join(copied_right, [*keys, "_salt", "_salt_r"], how).drop("_salt", "_salt_r")
+
+
+#: A side is broadcast by hand only up to this many bytes.
+BROADCAST_BYTES = 32 << 20
+FIXED_BYTES = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
+
+
+def _value_bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of one value, from the lengths of what varies in it."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
+    if isinstance(kind, T.StructType):
+        total = F.lit(0).cast("long")
+        for field in kind:
+            total = total + _value_bytes(value[field.name], field.dataType)
+        return total
+    if isinstance(kind, T.MapType):
+        return _value_bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + _value_bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.StructType, T.MapType, T.ArrayType)):
+            return F.coalesce(F.aggregate(value, F.lit(8).cast("long"), lambda acc, v: acc + _value_bytes(v, inner)), F.lit(8).cast("long"))
+        return F.coalesce(F.size(value), F.lit(0)).cast("long") * FIXED_BYTES.get(type(inner), 8)
+    return F.lit(FIXED_BYTES.get(type(kind), 8)).cast("long")
+
+
+def row_bytes(df: DataFrame, columns: list[str]) -> Column:
+    """About how many bytes the named columns of a row take."""
+    total = F.lit(0).cast("long")
+    for name in dict.fromkeys(columns):
+        total = total + _value_bytes(F.col(f"`{name}`"), df.schema[name].dataType)
+    return total
 
 
 def small(df: DataFrame, limit_rows: int = 200_000) -> bool:

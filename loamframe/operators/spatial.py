@@ -1,8 +1,9 @@
 """Spatial joins as grid-cell equi-joins.
 
-Both sides are keyed by the cells their boxes touch; the pair is kept only in the
-cell that holds the lower-left corner of the common box, so no distinct is needed.
-A right side whose size was checked is broadcast; otherwise crowded cells are salted.
+Boxes go to cells as wide as themselves (powers of two), and a pair meets on the level of its
+larger box.  It is kept only in the cell that holds the lower-left corner of the common box,
+so no distinct is needed.  A side whose bytes were counted is broadcast; otherwise cells
+crowded on either side are salted.
 """
 
 from __future__ import annotations
@@ -21,31 +22,91 @@ BOX = ("minx", "miny", "maxx", "maxy")
 DEGREE_M = math.radians(1.0) * codes.EARTH_RADIUS_M
 
 
+#: Points and tiny boxes go to cells of this width in degrees, not to narrower ones.
+FINEST_CELL = 2.0**-20
+
+
+def _level(minx: Column, miny: Column, maxx: Column, maxy: Column, cell: float) -> Column:
+    """Level of a box: the cells of level n are 2 ** n wide, and a box touches at most 2 x 2 cells of its level."""
+    extent, finest = F.greatest(maxx - minx, maxy - miny), F.lit(math.ceil(math.log2(cell)))
+    return F.greatest(finest, F.coalesce(F.ceil(F.log2(extent)).cast("int"), finest))
+
+
 def _side(df: DataFrame, prefix: str, identity: str, keep: list[str], cell: float) -> DataFrame:
+    """Id, bounds, kept columns and level; rows whose bounds are missing, not finite or the wrong way round are left out."""
     picked = df.select(
         F.col(identity).alias(identity),
-        *[F.col(c).alias(f"_{prefix}_{c}") for c in BOX], *[c for c in keep if c != identity],
+        *[finite(F.col(c).cast("double")).alias(f"_{prefix}_{c}") for c in BOX], *[c for c in keep if c != identity],
     )
+    x0, y0, x1, y1 = (F.col(f"_{prefix}_{c}") for c in BOX)
+    return picked.filter((x0 <= x1) & (y0 <= y1)).withColumn("_level", _level(x0, y0, x1, y1, cell))
+
+
+def _measure(a: DataFrame, b: DataFrame, held: tuple[list[str], list[str]]) -> list[dict[int, tuple[int, int]]]:
+    """Per side: level -> (rows, bytes).  One job; its result has a row for each level that occurs (some tens)."""
+    parts = [df.select(F.lit(n).alias("side"), "_level", skew.row_bytes(df, columns).alias("bytes"))
+             for n, (df, columns) in enumerate(zip((a, b), held))]
+    found = parts[0].unionAll(parts[1]).groupBy("side", "_level").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    sides: list[dict[int, tuple[int, int]]] = [{}, {}]
+    for row in found.collect():
+        sides[row["side"]][row["_level"]] = (row["n"], row["bytes"])
+    return sides
+
+
+def _entries(df: DataFrame, prefix: str, meets: Column, role: str) -> DataFrame:
+    """One row for each cell of each level in which rows of the other side are to be met."""
     box = [F.col(f"_{prefix}_{c}") for c in BOX]
-    return picked.withColumn("_cell", F.explode(geo.cells(*box, cell))).select(
-        "*", F.col("_cell.cx").alias("_cx"), F.col("_cell.cy").alias("_cy")).drop("_cell")
+    placed = df.withColumn("_at", F.explode(meets)).drop("_level").withColumn("_cell", F.explode(geo.cells(*box, F.col("_at.size"))))
+    columns = [F.col("_at.grid").alias("_grid"), F.col("_cell.cx").alias("_cx"), F.col("_cell.cy").alias("_cy")]
+    size = [F.col("_at.size").alias("_size")] if role == "left" else []
+    return placed.select("*", *columns, *size).drop("_at", "_cell")
+
+
+def _levels(levels, tag: int) -> Column:
+    """Levels as literals: (level, cell width, join key); widths are powers of two, so cells nest exactly."""
+    return F.array(*[F.struct(F.lit(n).alias("level"), F.lit(2.0**n).alias("size"), F.lit(2 * n + tag).alias("grid")) for n in sorted(levels)])
 
 
 def bbox_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keep_left: list[str] = (),
-              keep_right: list[str] = (), cell: float = 0.5, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """Pairs of rows with overlapping boxes: ids plus the kept columns (names must differ)."""
+              keep_right: list[str] = (), hot_rows: int = skew.HOT_ROWS, broadcast_bytes: int = skew.BROADCAST_BYTES,
+              cell: float = FINEST_CELL) -> DataFrame:
+    """Pairs of rows with overlapping boxes (touching counts): ids plus the kept columns (names must differ).
+
+    A pair meets on the level of its larger box: there the larger box touches at most 2 x 2 cells, and so does the
+    smaller one.  A row thus goes to its own cells and to those of the larger levels that the other side really has,
+    and its kept columns are never copied more often than that, whatever the extent of the layer.
+    Rows whose bounds are missing, not finite or the wrong way round meet nothing.
+    """
     a = _side(left, "a", left_id, list(keep_left), cell)
     b = _side(right, "b", right_id, list(keep_right), cell)
-    if skew.small(b):
-        pairs = a.join(F.broadcast(b), ["_cx", "_cy"])
+    of_a, of_b = _measure(a, b, ([left_id, *keep_left], [right_id, *keep_right]))
+    la, lb = of_a or {0: (0, 0)}, of_b or {0: (0, 0)}
+    own = F.col("_level")
+    # grid 2n: rows of b on their own level n, met by rows of a of that level or below; grid 2n + 1: the other way, strictly below
+    meets_a = F.concat(F.filter(_levels(lb, 0), lambda at: at["level"] >= own),
+                       F.filter(_levels([n for n in la if n > min(lb)] or [min(la)], 1), lambda at: (at["level"] == own) & (own > min(lb))))
+    meets_b = F.concat(F.filter(_levels(lb, 0), lambda at: (at["level"] == own) & (own >= min(la))),
+                       F.filter(_levels(la, 1), lambda at: at["level"] > own))
+    copies_a = {n: 4 * (sum(m >= n for m in lb) + (n > min(lb))) for n in la}
+    copies_b = {n: 4 * ((n >= min(la)) + sum(m > n for m in la)) for n in lb}
+    rows = [sum(side[n][0] * c[n] for n in side) for side, c in ((la, copies_a), (lb, copies_b))]
+    size = [sum((side[n][1] + 64 * side[n][0]) * c[n] for n in side) for side, c in ((la, copies_a), (lb, copies_b))]
+    a, b = _entries(a, "a", meets_a, "left"), _entries(b, "b", meets_b, "right")
+    on = ["_grid", "_cx", "_cy"]
+    if size[1] <= broadcast_bytes and size[1] <= size[0] or size[0] > broadcast_bytes >= size[1]:
+        pairs = a.join(F.broadcast(b), on)
+    elif size[0] <= broadcast_bytes:
+        pairs = F.broadcast(a).join(b, on)
+    elif max(rows) <= hot_rows:  # no cell can be crowded
+        pairs = a.join(b, on)
     else:
-        pairs = skew.salted_join(a, b, ["_cx", "_cy"], F.col(left_id), hot_rows=hot_rows)
+        pairs = skew.salted_join(a, b, on, F.col(left_id), hot_rows=hot_rows, spread_right=F.col(right_id))
     ax0, ay0, ax1, ay1 = (F.col(f"_a_{c}") for c in BOX)
     bx0, by0, bx1, by1 = (F.col(f"_b_{c}") for c in BOX)
-    home = (geo.cell_of(F.greatest(ax0, bx0), cell) == F.col("_cx")) & (
-        geo.cell_of(F.greatest(ay0, by0), cell) == F.col("_cy"))
+    home = (geo.cell_of(F.greatest(ax0, bx0), F.col("_size")) == F.col("_cx")) & (
+        geo.cell_of(F.greatest(ay0, by0), F.col("_size")) == F.col("_cy"))
     overlap = (ax0 <= bx1) & (ax1 >= bx0) & (ay0 <= by1) & (ay1 >= by0)
-    return pairs.filter(home & overlap).drop("_cx", "_cy", *[f"_{s}_{c}" for s in "ab" for c in BOX])
+    return pairs.filter(home & overlap).drop(*on, "_size", *[f"_{s}_{c}" for s in "ab" for c in BOX])
 
 
 def as_boxes(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -53,28 +114,81 @@ def as_boxes(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return points.withColumns({"minx": F.col(x), "miny": F.col(y), "maxx": F.col(x), "maxy": F.col(y)})
 
 
+#: Polygons with more vertices are cut into bands of latitude with about half as many edges.
+BAND_POINTS = 256
+
+
+def polygon_bands(polygons: DataFrame, polygon_id: str, geom: str = "geom", band_points: int = BAND_POINTS) -> DataFrame:
+    """Polygons as horizontal bands: (id, _shape, _band, bounds, _low, _step, _last, _edges).
+
+    An edge belongs to each band that it touches, whole, so that a test against the edges of a point's band takes the
+    same numbers as a test against all.  ``_shape`` tells different geometries of one id apart.
+    """
+    count = F.ceil(geo.num_points(F.col(geom)) / F.lit(band_points / 2.0)).cast("int")
+    low, high = F.col("miny").cast("double"), F.col("maxy").cast("double")
+    rings = polygons.select(
+        F.col(polygon_id).alias("_owner"), F.xxhash64(geom).alias("_shape"), F.col("minx").alias("minx"), F.col("maxx").alias("maxx"),
+        low.alias("_low"), F.try_divide(high - low, count).alias("_step"), (count - 1).alias("_last"), F.posexplode(F.col(f"{geom}.parts")).alias("_p", "_ring"))
+    corners = rings.select("*", F.posexplode(F.arrays_zip(
+        F.slice("_ring.xs", F.lit(1), F.size("_ring.xs") - 1).alias("x1"), F.slice("_ring.ys", F.lit(1), F.size("_ring.ys") - 1).alias("y1"),
+        F.slice("_ring.xs", F.lit(2), F.size("_ring.xs") - 1).alias("x2"), F.slice("_ring.ys", F.lit(2), F.size("_ring.ys") - 1).alias("y2"),
+    )).alias("_i", "_e")).drop("_ring")
+    sloping = corners.filter(F.col("_e.y1") != F.col("_e.y2"))  # a level edge is never crossed
+    reach = F.sequence(band_of(F.least("_e.y1", "_e.y2")), band_of(F.greatest("_e.y1", "_e.y2")))
+    keyed = sloping.withColumn("_band", F.explode(reach))
+    packed = keyed.groupBy("_owner", "_shape", "_band", "minx", "maxx", "_low", "_step", "_last").agg(
+        F.collect_set(F.struct("_p", "_i", "_e.x1", "_e.y1", "_e.x2", "_e.y2")).alias("_edges"))  # a set: repeated rows are one polygon
+    margin = F.col("_step") * 1e-6 + F.abs("_low") * 1e-12  # the band itself is decided by band_of
+    return packed.withColumns({
+        "miny": F.col("_low") + F.col("_band") * F.col("_step") - margin,
+        "maxy": F.col("_low") + (F.col("_band") + 1) * F.col("_step") + margin}).withColumnRenamed("_owner", polygon_id)
+
+
+def band_of(y: Column) -> Column:
+    """Band of a latitude in a row with ``_low``, ``_step`` and ``_last``."""
+    number = F.floor(F.try_divide(y - F.col("_low"), F.col("_step"))).cast("int")
+    return F.greatest(F.lit(0), F.least(F.col("_last"), number))
+
+
 def spatial_join(polygons: DataFrame, points: DataFrame, polygon_id: str, point_id: str, keep_polygon: list[str] = (),
-                 keep_point: list[str] = (), x: str = "x", y: str = "y", geom: str = "geom", cell: float = 0.5) -> DataFrame:
-    """Points in polygons, many to many."""
+                 keep_point: list[str] = (), x: str = "x", y: str = "y", geom: str = "geom", band_points: int = BAND_POINTS,
+                 cell: float = FINEST_CELL) -> DataFrame:
+    """Points in polygons, many to many.
+
+    A point meets the whole of a small polygon, but of one with more than ``band_points`` vertices only the edges in its
+    band of latitude, so a coast of a million vertices costs a point some hundred of them.
+    """
     carried = list(dict.fromkeys([*keep_point, x, y]))
-    pairs = bbox_join(as_boxes(points, x, y), polygons, point_id, polygon_id, carried, [geom, *keep_polygon], cell)
-    hit = pairs.filter(geo.contains_point(F.col(geom), F.col(x), F.col(y)))
-    return hit.select(point_id, polygon_id, *carried, *keep_polygon)
+    boxed, large = as_boxes(points, x, y), geo.num_points(F.col(geom)) > band_points
+    columns = [point_id, polygon_id, *carried, *keep_polygon]
+    pairs = bbox_join(boxed, polygons.filter(F.coalesce(~large, F.lit(True))), point_id, polygon_id, carried, [geom, *keep_polygon], cell=cell)
+    hit = pairs.filter(geo.contains_point(F.col(geom), F.col(x), F.col(y))).select(*columns)
+    giants = polygons.filter(large & (F.col(f"{geom}.kind") == "POLYGON"))
+    if giants.isEmpty():
+        return hit
+    bands = durable(polygon_bands(giants, polygon_id, geom, band_points).withColumn("_key", F.struct(polygon_id, "_shape", "_band")).drop(polygon_id, "_shape"))
+    near = bbox_join(boxed, bands, point_id, "_key", carried, ["_low", "_step", "_last", "_edges"], cell=cell)
+    crossed = F.filter("_edges", lambda e: ((e["y1"] > F.col(y)) != (e["y2"] > F.col(y))) & (
+        F.col(x) < e["x1"] + F.try_divide((F.col(y) - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"])))
+    inside = near.filter((F.col("_key._band") == band_of(F.col(y))) & (F.size(crossed) % 2 == 1))
+    owners = giants.select(F.col(polygon_id).alias("_owner"), F.xxhash64(geom).alias("_shape"), *[c for c in keep_polygon if c != polygon_id])
+    found = inside.select(point_id, *[c for c in carried if c != point_id], F.col(f"_key.{polygon_id}").alias("_owner"), F.col("_key._shape").alias("_shape"))
+    return hit.unionByName(found.join(owners, ["_owner", "_shape"]).withColumnRenamed("_owner", polygon_id).select(*columns))
 
 
 def first_match_label(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, label: str,
-                      x: str = "x", y: str = "y", geom: str = "geom", cell: float = 0.5) -> DataFrame:
+                      x: str = "x", y: str = "y", geom: str = "geom") -> DataFrame:
     """Every point with the label of its first polygon (by polygon id), NULL when none."""
-    hits = spatial_join(polygons, points, polygon_id, point_id, [label], [], x, y, geom, cell)
+    hits = spatial_join(polygons, points, polygon_id, point_id, [label], [], x, y, geom)
     first = hits.groupBy(point_id).agg(F.min_by(label, polygon_id).alias(label))
     return points.join(first, point_id, "left")
 
 
-def overlapping_pairs(polygons: DataFrame, identity: str, geom: str = "geom", cell: float = 0.5) -> DataFrame:
+def overlapping_pairs(polygons: DataFrame, identity: str, geom: str = "geom") -> DataFrame:
     """All intersecting pairs of a layer, in both directions."""
     a = polygons.withColumnsRenamed({identity: "id_a", geom: "geom_a"})
     b = polygons.withColumnsRenamed({identity: "id_b", geom: "geom_b"})
-    pairs = bbox_join(a, b, "id_a", "id_b", ["geom_a"], ["geom_b"], cell)
+    pairs = bbox_join(a, b, "id_a", "id_b", ["geom_a"], ["geom_b"])
     once = pairs.filter((F.col("id_a") < F.col("id_b")) & geo.intersects(F.col("geom_a"), F.col("geom_b"))).select("id_a", "id_b")
     both = F.explode(F.array(F.struct("id_a", "id_b"), F.struct(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))))
     return once.select(both.alias("p")).select("p.*")
@@ -91,11 +205,11 @@ def pad_box(df: DataFrame, metres: float | Column) -> DataFrame:
 
 
 def within_distance(parcels: DataFrame, fields: DataFrame, parcel_id: str, field_id: str, flag: str,
-                    tolerance_m: float, cell: float = 0.05) -> DataFrame:
+                    tolerance_m: float) -> DataFrame:
     """Fields within a tolerance of each parcel, flagged ones first, then by distance."""
     a = pad_box(parcels, tolerance_m).withColumnRenamed("geom", "_ga")
     b = fields.withColumnRenamed("geom", "_gb")
-    pairs = bbox_join(a, b, parcel_id, field_id, ["_ga"], ["_gb", flag], cell)
+    pairs = bbox_join(a, b, parcel_id, field_id, ["_ga"], ["_gb", flag])
     near = pairs.withColumn("_d", geo.distance_m(F.col("_ga"), F.col("_gb"))).filter(F.col("_d") <= tolerance_m)
     return near.select(parcel_id, field_id, flag, F.round("_d", 1).alias("dist_m"))
 
@@ -111,7 +225,7 @@ def k_nearest(candidates: DataFrame, group: str, distance: str, tie: str, k: int
 
 
 def nearest(parcels: DataFrame, features: DataFrame, parcel_id: str, feature_id: str, x: str, y: str, k: int,
-            max_degrees: Column, geom: str = "geom", keep: list[str] = (), cell: float = 0.5) -> DataFrame:
+            max_degrees: Column, geom: str = "geom", keep: list[str] = ()) -> DataFrame:
     """k planar-nearest features per point: (parcel_id, _px, _py, feature_id, planar, rank, geometry, kept).
 
     At most ``max_degrees`` away (it may use ``_py``); 0 inside a polygon; ties go to the lower id.  The search goes down a pyramid
@@ -123,7 +237,7 @@ def nearest(parcels: DataFrame, features: DataFrame, parcel_id: str, feature_id:
     found = pyramid.near_features(points, layer, k)
     polygons = features.filter(F.col(f"{geom}.kind") == "POLYGON")
     if not polygons.isEmpty():
-        inside = spatial_join(polygons, points, feature_id, "_who", x="px", y="py", geom=geom, cell=cell).select("_who", F.col(feature_id).alias("_f"))
+        inside = spatial_join(polygons, points, feature_id, "_who", x="px", y="py", geom=geom).select("_who", F.col(feature_id).alias("_f"))
         found = found.unionByName(inside.withColumn("planar", F.lit(0.0)))
     found = found.groupBy("_who", "_f").agg(F.min("planar").alias("planar"))
     reach = found.join(points, "_who").filter(F.col("planar") <= F.col("_max"))
@@ -164,11 +278,11 @@ def nearest_with_data(parcels: DataFrame, observations: DataFrame, stations: Dat
 
 
 def point_hit(clicks: DataFrame, features: DataFrame, click_id: str, feature_id: str, pad: float = 0.0002,
-              geom: str = "geom", cell: float = 0.05) -> DataFrame:
+              geom: str = "geom") -> DataFrame:
     """First feature containing each clicked point, else the first candidate near it."""
     boxed = clicks.withColumns({
         "minx": F.col("x") - pad, "miny": F.col("y") - pad, "maxx": F.col("x") + pad, "maxy": F.col("y") + pad})
-    pairs = bbox_join(boxed, features, click_id, feature_id, ["x", "y"], [geom], cell)
+    pairs = bbox_join(boxed, features, click_id, feature_id, ["x", "y"], [geom])
     inside = geo.contains_point(F.col(geom), F.col("x"), F.col("y"))
     best = F.min(F.struct((~inside).alias("outside"), F.col(feature_id).alias("f")))
     return pairs.groupBy(click_id).agg(best.alias("_b")).select(
@@ -176,12 +290,12 @@ def point_hit(clicks: DataFrame, features: DataFrame, click_id: str, feature_id:
 
 
 def field_sample_stats(fields: DataFrame, samples: DataFrame, soils: DataFrame, field_id: str = "gid",
-                       sample_id: str = "pid", value: str = "som", soil: str = "symbol", cell: float = 0.5) -> DataFrame:
+                       sample_id: str = "pid", value: str = "som", soil: str = "symbol") -> DataFrame:
     """Per field: sample count, mean, population deviation and sorted soil classes of its samples;
     fields without any class are left out."""
     labelled = first_match_label(samples, soils.withColumnRenamed("geom", "_soil"), sample_id, "soil_id", soil,
-                                 geom="_soil", cell=cell)
-    joined = spatial_join(fields, labelled, field_id, sample_id, [], [value, soil], cell=cell)
+                                 geom="_soil")
+    joined = spatial_join(fields, labelled, field_id, sample_id, [], [value, soil])
     return sample_stats(joined, field_id, value, soil)
 
 

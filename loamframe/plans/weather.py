@@ -81,7 +81,7 @@ def station_observations(requests: DataFrame, items: DataFrame, collections: Dat
     located, _ = rq.resolve_locations(valid, farms)
     grown = rq.min_bbox(located).withColumn("_i", interval_bounds(F.col("collection"), F.col("start_date"), F.col("end_date")))
     sites = spatial.as_boxes(items.select("station_id", "lon", "lat").distinct(), "lon", "lat")
-    pairs = spatial.bbox_join(sites, durable(grown), "station_id", "request_id", [], ["collection", "variables", "_i"], cell=1.0)
+    pairs = spatial.bbox_join(sites, durable(grown), "station_id", "request_id", [], ["collection", "variables", "_i"])
     asked = pairs.withColumn("variable", F.explode("variables")).select(
         "request_id", "station_id", "collection", "variable",
         F.col("_i.start").cast("date").alias("_from"), F.substring("_i.end", 1, 10).cast("date").alias("_to"))

@@ -43,7 +43,7 @@ def tile_index_lookup(tiles: DataFrame, requests: DataFrame, products: list[str]
     pairs = spatial.bbox_join(
         requests.select("request_id", "minx", "miny", "maxx", "maxy"),
         tiles.select("tile_id", "minx", "miny", "maxx", "maxy", *products),
-        "request_id", "tile_id", keep_right=products, cell=0.5,
+        "request_id", "tile_id", keep_right=products,
     )
     urls = pairs.unpivot(["request_id", "tile_id"], products, "product", "url")
     return urls.filter(F.col("url").isNotNull() & (F.col("url") != ""))
