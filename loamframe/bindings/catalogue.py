@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loamframe import codes
-from loamframe.bindings.tables import ITEMS, items, query, read
+from loamframe.bindings.tables import ITEMS, items, new_store, query, read
 from loamframe.functions import values
 from loamframe.operators import catalog as cat, reports
-from loamframe.sources import landed, writers
+from loamframe.sources import buckets, landed
 
 
 @query(f"""WITH {ITEMS} SELECT id, strftime(datetime, '%Y-%m-%d') AS day FROM items WHERE collection IN ('set_1', 'set_2', 'set_3') AND minx <= -60 AND maxx >= -76 AND miny <= 58 AND maxy >= 46
@@ -161,7 +161,10 @@ def publish_catalog(spark, sf_dir):
     i = items(spark, sf_dir).select("collection", "id", "cloud", "page_id")
     newer = i.filter("page_id % 3 = 0").withColumn("cloud", F.col("cloud") + 1)
     cols = i.select(F.col("collection").alias("id")).distinct()
-    return writers.publish_catalog(i, newer, cols, cols)[0].select("collection", "id", "cloud")
+    store = new_store(spark)
+    buckets.publish_catalog(store, i, cols)
+    buckets.publish_catalog(store, newer, cols)
+    return store.read("items").select("collection", "id", "cloud")
 
 
 @query(f"WITH {ITEMS} SELECT id, CAST(b AS INTEGER) AS band, CASE WHEN b <= page_id % 3 THEN 'layer ' || b ELSE 'band_' || b END AS description FROM items, generate_series(1, 3) t(b)")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamframe.bindings.tables import FARMS, PARCELS, SOILS, farms, parcels, query, read, soils
+from loamframe.bindings.tables import FARMS, PARCELS, SOILS, farms, new_store, parcels, query, read, soils
 from loamframe.functions import geometry as geo, text, times, values
 from loamframe.operators import encoding, harmonize, keys
-from loamframe.sources import files, writers
+from loamframe.sources import buckets, files, writers
 
 # --- sources -------------------------------------------------------------------
 _EXT = ["GeoJSON", "csv", "TIF", "parquet", "txt", "shp"]
@@ -220,14 +220,20 @@ def upsert_rows(spark, sf_dir):
     target = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     changed = target.filter("c_custkey % 4 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
     added = target.filter("c_custkey % 8 = 0").withColumns({"c_custkey": F.col("c_custkey") + 100000000, "c_acctbal": F.col("c_acctbal") + 1})
-    return writers.upsert(target, changed.unionByName(added), ["c_custkey"])
+    store = new_store(spark)
+    buckets.upsert_table(store, "customers", target, ["c_custkey"])
+    buckets.upsert_table(store, "customers", changed.unionByName(added), ["c_custkey"])
+    return store.read("customers")
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderstatus <> 'P')")
 def append_pending(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     done = o.filter("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", F.lit("timeout")).alias("error"))
-    return writers.append_results(o, done, ["o_orderkey"]).select("o_orderkey")
+    store = new_store(spark)
+    store.commit(store.stage_table("results", done.withColumn("run", F.lit(1)), ["o_orderkey"]))
+    buckets.append_pending(store, "results", o.select("o_orderkey", F.lit(None).cast("string").alias("error"), F.lit(2).alias("run")))
+    return store.read("results").filter("run = 2").select("o_orderkey")
 
 
 # --- functions ---------------------------------------------------------------------

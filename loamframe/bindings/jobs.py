@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from loamframe.bindings.soils import _box_area, coverage
 from loamframe.bindings.tables import (
-    DAILY, FARMS, ITEMS, OBSERVATIONS, PARCELS, SOILS, daily, farms, items, observations, parcels, pixels, query, read, soils, stations,
+    DAILY, FARMS, ITEMS, OBSERVATIONS, PARCELS, SOILS, daily, farms, items, new_store, observations, parcels, pixels, query, read, soils, stations,
 )
 from loamframe.functions import geometry as geo, indices
-from loamframe.operators import harmonize, overlay, selfcross, spatial, split
+from loamframe.operators import overlay, selfcross, spatial, split
 from loamframe.plans import imagery, ingest, parcels as pp
+from loamframe.sources import buckets
 from loamframe.streaming import live
 
 
@@ -67,7 +68,10 @@ def catalog_walk(spark, sf_dir):
 @query(f"WITH {PARCELS} SELECT gid, s_name, s_acctbal IS NOT NULL AS has_value FROM parcels WHERE gid % 2 = 0 UNION ALL SELECT gid, s_name, FALSE FROM parcels WHERE gid % 2 = 1")
 def refresh_copy(spark, sf_dir):
     p = parcels(spark, sf_dir)
-    return harmonize.stamp_flags(p.select("gid", "s_name"), p.filter("gid % 2 = 0").select("gid", "s_acctbal"), ["gid"], "s_acctbal", "has_value").drop("s_acctbal")
+    store = new_store(spark)
+    store.commit(store.stage_table("parcels", p.select("gid", "s_name"), ["gid"]))
+    buckets.refresh_columns(store, "parcels", p.filter("gid % 2 = 0").select("gid", "s_acctbal"))
+    return store.read("parcels").select("gid", "s_name", F.col("s_acctbal").isNotNull().alias("has_value"))
 
 
 # --- overlay of other shapes, splitting, self-crossing --------------------------------

@@ -6,9 +6,13 @@ pixel has the first five entries of its vector as bands.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loamframe.functions import geometry as geo
+from loamframe.session import shared_folder
+from loamframe.sources.buckets import BucketStore
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,6 +34,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_store(spark: SparkSession) -> BucketStore:
+    """An empty store in the shared folder."""
+    return BucketStore(spark, f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+
+
 def spread(key: str | Column, step: int, span: int, start: float) -> Column:
     key = F.col(key) if isinstance(key, str) else key
     return F.lit(start) + (key * step % span) / F.lit(100.0)

@@ -113,29 +113,65 @@ def cells_of_requests(requests: DataFrame, grid_cells: DataFrame, grid_keys: lis
     return covered.unionByName(best.select("_who.*", "i", "j"))
 
 
-def timeseries(grid: DataFrame, requests: DataFrame, registry: DataFrame, aggregation: str = "daily") -> DataFrame:
+def grid_cells(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Geometry of the grids: (keys, i, j, lat, lon), one row per cell."""
+    return grid.select(*keys, "i", "j", "lat", "lon").distinct()
+
+
+def prune_grid(grid: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of a grid that any wanted cell may need, by literals that reach the scan.
+
+    ``wanted`` (dataset, variable, i, j, start_date, end_date) names registered variables only, so what is
+    collected has at most one row for each of the registry.  A ``year`` column, if there is one, is a partition.
+    """
+    number = lambda c: (F.min(c).alias(f"least_{c}"), F.max(c).alias(f"most_{c}"))
+    spans = wanted.groupBy("dataset", "variable").agg(
+        F.min(F.col("start_date").cast("date")).alias("first"), F.max(F.col("end_date").cast("date")).alias("last"), *number("i"), *number("j")).collect()
+    spans = [s for s in spans if s["first"] is not None and s["last"] is not None]
+    if not spans:
+        return grid.limit(0)
+    least, most = min(s["first"] for s in spans), max(s["last"] for s in spans)
+    # one plain conjunction for partitions and row groups, then the span of each variable
+    rows = grid.filter(F.col("dataset").isin(sorted({s["dataset"] for s in spans})) & F.col("variable").isin(sorted({s["variable"] for s in spans})))
+    if "year" in grid.columns:
+        rows = rows.filter(F.col("year").between(least.year, most.year))
+    after = F.date_add(F.lit(most), 1)
+    rows = rows.filter((F.col("time") >= F.lit(least)) & (F.col("time") < after))
+    for c in ("i", "j"):
+        rows = rows.filter(F.col(c).between(min(s[f"least_{c}"] for s in spans), max(s[f"most_{c}"] for s in spans)))
+    each = [(F.col("dataset") == s["dataset"]) & (F.col("variable") == s["variable"]) & F.col("time").between(F.lit(s["first"]), F.date_add(F.lit(s["last"]), 1))
+            & F.col("i").between(s["least_i"], s["most_i"]) & F.col("j").between(s["least_j"], s["most_j"]) for s in spans]
+    return rows.filter(geo.any_of(each)) if len(each) > 1 else rows
+
+
+def timeseries(grid: DataFrame, requests: DataFrame, registry: DataFrame, aggregation: str = "daily", cells: DataFrame | None = None) -> DataFrame:
     """Long result (request_id, variable, time, value, units) for a batch of requests.
 
     ``requests``: request_id, dataset, variable, start_date, end_date, bounds, polygon and,
     for projections, scenario and model.  The join carries small request rows to the
-    grid; the mean over cells combines map-side before its shuffle.
+    grid; the mean over cells combines map-side before its shuffle.  ``cells`` is the grids' geometry where it is
+    stored (``landed.store_grid``); without it, it is gathered from the asked data sets, which reads their positions whole.
     """
     if aggregation not in ("daily", "monthly"):
         raise ValueError("aggregation must be daily or monthly")
     grid_keys = ["dataset"] + [c for c in ("model",) if c in grid.columns and c in requests.columns]
-    locations = requests.dropDuplicates(["request_id", *grid_keys]).select("request_id", *grid_keys, "minx", "miny", "maxx", "maxy", "polygon")
-    cell_list = cells_of_requests(locations, durable(grid.select(*grid_keys, "i", "j", "lat", "lon").distinct()), grid_keys)
+    asked = requests.join(F.broadcast(registry.select("dataset", "variable")), ["dataset", "variable"], "left_semi")  # the fixed registry
+    locations = asked.dropDuplicates(["request_id", *grid_keys]).select("request_id", *grid_keys, "minx", "miny", "maxx", "maxy", "polygon")
+    if cells is None:
+        sets = sorted(r[0] for r in asked.select("dataset").distinct().collect())  # at most those of the registry
+        cells = durable(grid_cells(grid.filter(F.col("dataset").isin(sets)), grid_keys))
+    cell_list = cells_of_requests(locations, cells, grid_keys)
     keys = ["dataset", "variable"] + [c for c in ("scenario", "model") if c in grid.columns and c in requests.columns]
     # written out, so Spark knows its true size and broadcasts it only when it is small
-    wanted = durable(requests.select("request_id", *keys, "start_date", "end_date").join(cell_list, ["request_id", *grid_keys]))
-    values = grid.join(wanted, [*keys, "i", "j"]).filter(
+    wanted = durable(asked.select("request_id", *keys, "start_date", "end_date").join(cell_list, ["request_id", *grid_keys]))
+    values = prune_grid(grid, wanted).join(wanted, [*keys, "i", "j"]).filter(
         F.col("time").between(F.col("start_date").cast("date"), F.col("end_date").cast("date"))
     )
     series_keys = ["request_id", *keys]
     if aggregation == "monthly":
         values = monthly_mean(values, [*series_keys, "i", "j"])
     means = spatial_mean(values, series_keys)
-    named = means.join(F.broadcast(registry), ["dataset", "variable"])  # the fixed registry
+    named = means.join(F.broadcast(registry), ["dataset", "variable"])
     return named.select(
         "request_id", "dataset", "variable", "time",
         convert_units(F.col("value"), F.col("scale"), F.col("offset")).alias("value"), "units",

@@ -20,7 +20,7 @@ def _whole(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def weather_timeseries(requests: DataFrame, grid: DataFrame, registry: DataFrame, farms: DataFrame,
-                       datasets: DataFrame, today: Column, aggregation: str = "daily") -> DataFrame:
+                       datasets: DataFrame, today: Column, aggregation: str = "daily", cells: DataFrame | None = None) -> DataFrame:
     """Series per request and variable, long form.
 
     ``requests``: request_id, dataset, variables, start_date, end_date and the location
@@ -29,19 +29,19 @@ def weather_timeseries(requests: DataFrame, grid: DataFrame, registry: DataFrame
     located, _ = rq.resolve_locations(requests, farms)
     ranged, _ = rq.effective_range(located, datasets, today)
     asked = _whole(*landed.grid_requests(ranged, registry))
-    return climate.timeseries(grid, asked, registry, aggregation)
+    return climate.timeseries(grid, asked, registry, aggregation, cells)
 
 
 def climate_timeseries(requests: DataFrame, grid: DataFrame, registry: DataFrame, models: DataFrame, farms: DataFrame,
-                       aggregation: str = "daily") -> DataFrame:
+                       aggregation: str = "daily", cells: DataFrame | None = None) -> DataFrame:
     """As above for projections: each request names a scenario and a model that supports it."""
     located, _ = rq.resolve_locations(requests, farms)
     asked = _whole(*landed.grid_requests(located, registry, models))
-    return climate.timeseries(grid, asked, registry, aggregation)
+    return climate.timeseries(grid, asked, registry, aggregation, cells)
 
 
 def climate_indicators(requests: DataFrame, grid: DataFrame, registry: DataFrame, farms: DataFrame,
-                       models: DataFrame | None = None) -> DataFrame:
+                       models: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """One indicator value per request: (request_id, indicator, value).
 
     ``requests`` adds indicator, base_temp and threshold, and for projections scenario, model.
@@ -54,7 +54,7 @@ def climate_indicators(requests: DataFrame, grid: DataFrame, registry: DataFrame
     ready = valid.withColumn("variables", F.element_at(needs, F.col("indicator")))
     located, _ = rq.resolve_locations(ready, farms)
     asked = _whole(*landed.grid_requests(located, registry, models))
-    daily = climate.daily_columns(climate.timeseries(grid, asked, registry), ["request_id"])
+    daily = climate.daily_columns(climate.timeseries(grid, asked, registry, cells=cells), ["request_id"])
     params = asked.select("request_id", "indicator", "base_temp", "threshold").dropDuplicates(["request_id"])
     rows = daily.join(params, "request_id")
     tasmin, tasmax, pr = F.col("tasmin"), F.col("tasmax"), F.col("pr")
@@ -80,8 +80,12 @@ def station_observations(requests: DataFrame, items: DataFrame, collections: Dat
     valid, _ = rq.split_valid(rq.validate_station_requests(requests, collections))
     located, _ = rq.resolve_locations(valid, farms)
     grown = rq.min_bbox(located).withColumn("_i", interval_bounds(F.col("collection"), F.col("start_date"), F.col("end_date")))
+    grown = durable(grown)
+    span = grown.agg(F.min(F.col("_i.start").cast("date")), F.max(F.substring("_i.end", 1, 10).cast("date"))).first()
+    if span[0] is not None and span[1] is not None:  # the asked period, as literals that reach the scan
+        items = items.filter((F.col("time") >= F.lit(span[0])) & (F.col("time") < F.date_add(F.lit(span[1]), 1)))
     sites = spatial.as_boxes(items.select("station_id", "lon", "lat").distinct(), "lon", "lat")
-    pairs = spatial.bbox_join(sites, durable(grown), "station_id", "request_id", [], ["collection", "variables", "_i"])
+    pairs = spatial.bbox_join(sites, grown, "station_id", "request_id", [], ["collection", "variables", "_i"])
     asked = pairs.withColumn("variable", F.explode("variables")).select(
         "request_id", "station_id", "collection", "variable",
         F.col("_i.start").cast("date").alias("_from"), F.substring("_i.end", 1, 10).cast("date").alias("_to"))

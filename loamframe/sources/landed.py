@@ -23,6 +23,22 @@ def read_grid(grid: DataFrame, dataset: str, variables: list[str]) -> DataFrame:
     return rows
 
 
+def store_grid(grid: DataFrame, path: str, keys: list[str] = ("dataset",)) -> None:
+    """A grid by data set, variable and year, its rows ordered by cell inside, beside a small table of its cells."""
+    from loamframe.operators.climate import grid_cells
+
+    dated = grid.withColumn("year", F.year("time"))
+    # rebalanced: a year of one variable may be several files, small ones share a task
+    dated.hint("rebalance", "dataset", "variable", "year").sortWithinPartitions("dataset", "variable", "year", "j", "i", "time").write.partitionBy(
+        "dataset", "variable", "year").parquet(f"{path}/values")
+    grid_cells(grid, list(keys)).write.parquet(f"{path}/cells")
+
+
+def open_grid(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(values, cells) of a stored grid."""
+    return spark.read.parquet(f"{path}/values"), spark.read.parquet(f"{path}/cells")
+
+
 def read_station_items(items: DataFrame, box, start: str, end: str, time: str = "time",
                        station: str = "station_id", limit: int | None = None) -> DataFrame:
     """Station observations in a box and period: all of them, or the first ``limit`` in a stable order."""

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from loamframe.operators import climate
-from loamframe.sources import writers
+from loamframe.operators import climate, keys
+from loamframe.sources import buckets, writers
 
 
 def stream_station_series(observations: DataFrame, station: str, time: str, value: str, window: str = "1 day",
@@ -78,3 +78,25 @@ def stream_ingest_layers(arriving: DataFrame, target: str, key: list[str], prepa
         merged.write.mode("overwrite").parquet(f"{target}/v{number}")
 
     return arriving.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_upsert_table(arriving: DataFrame, store: buckets.BucketStore, table: str, key: list[str], prepare: Callable[[DataFrame], DataFrame],
+                        checkpoint: str, version: str | None = None):
+    """Harmonise each batch of new rows and upsert it into a table of the store, rewriting only the buckets it touches.
+
+    The number of the batch is put in force with its rows, so a batch that is replayed after a failure changes nothing.
+    Two versions are kept.
+    """
+    def absorb(batch: DataFrame, number: int) -> None:
+        last = store.mark(f"stream:{table}")
+        if last is not None and number <= last:
+            return
+        clean = prepare(batch)
+        if table in store.tables():
+            staged = store.stage_upsert(table, clean, version)
+        else:
+            staged = store.stage_table(table, keys.last_per_key(clean, key, version), key)
+        store.commit(staged, marks={f"stream:{table}": number})
+        store.vacuum(2)
+
+    return arriving.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
