@@ -162,7 +162,7 @@ def publish_catalog(spark, sf_dir):
     newer = i.filter("page_id % 3 = 0").withColumn("cloud", F.col("cloud") + 1)
     cols = i.select(F.col("collection").alias("id")).distinct()
     store = new_store(spark)
-    buckets.publish_catalog(store, i, cols)
+    buckets.publish_catalog(store, i, cols, buckets=16)
     buckets.publish_catalog(store, newer, cols)
     return store.read("items").select("collection", "id", "cloud")
 

@@ -221,7 +221,7 @@ def upsert_rows(spark, sf_dir):
     changed = target.filter("c_custkey % 4 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
     added = target.filter("c_custkey % 8 = 0").withColumns({"c_custkey": F.col("c_custkey") + 100000000, "c_acctbal": F.col("c_acctbal") + 1})
     store = new_store(spark)
-    buckets.upsert_table(store, "customers", target, ["c_custkey"])
+    buckets.upsert_table(store, "customers", target, ["c_custkey"], buckets=16)
     buckets.upsert_table(store, "customers", changed.unionByName(added), ["c_custkey"])
     return store.read("customers")
 
@@ -231,7 +231,7 @@ def append_pending(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     done = o.filter("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", F.lit("timeout")).alias("error"))
     store = new_store(spark)
-    store.commit(store.stage_table("results", done.withColumn("run", F.lit(1)), ["o_orderkey"]))
+    store.commit(store.stage_table("results", done.withColumn("run", F.lit(1)), ["o_orderkey"], 16))
     buckets.append_pending(store, "results", o.select("o_orderkey", F.lit(None).cast("string").alias("error"), F.lit(2).alias("run")))
     return store.read("results").filter("run = 2").select("o_orderkey")
 

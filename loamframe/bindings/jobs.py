@@ -69,7 +69,7 @@ def catalog_walk(spark, sf_dir):
 def refresh_copy(spark, sf_dir):
     p = parcels(spark, sf_dir)
     store = new_store(spark)
-    store.commit(store.stage_table("parcels", p.select("gid", "s_name"), ["gid"]))
+    store.commit(store.stage_table("parcels", p.select("gid", "s_name"), ["gid"], 16))
     buckets.refresh_columns(store, "parcels", p.filter("gid % 2 = 0").select("gid", "s_acctbal"))
     return store.read("parcels").select("gid", "s_name", F.col("s_acctbal").isNotNull().alias("has_value"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from loamframe.operators import keys
 
-BUCKET = "_bucket"
+FOLDER, BUCKET = "_folder", "_bucket"
 
 
 class Conflict(RuntimeError):
@@ -104,9 +104,18 @@ class BucketStore:
 
     def _rows(self, entry: dict, buckets: set[int] | None = None) -> DataFrame:
         schema = T.StructType.fromJson(entry["schema"])
-        folders = [f"{self.path}/data/{name}/{BUCKET}={b}" for b, names in entry["folders"].items() if buckets is None or int(b) in buckets
-                   for name in names]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        live: dict[str, list[int]] = {}
+        for b, names in entry["folders"].items():
+            if buckets is None or int(b) in buckets:
+                for name in names:
+                    live.setdefault(name, []).append(int(b))
+        if not live:
+            return self.spark.createDataFrame([], schema)
+        # folder and bucket are partitions: a literal predicate on them opens the live buckets only
+        stored = T.StructType([*schema, T.StructField(FOLDER, T.StringType()), T.StructField(BUCKET, T.IntegerType())])
+        found = self.spark.read.schema(stored).option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/{FOLDER}={name}" for name in live])
+        wanted = [(F.col(FOLDER) == name) & F.col(BUCKET).isin(sorted(held)) for name, held in live.items()]
+        return found.filter(functools.reduce(operator.or_, wanted)).drop(FOLDER, BUCKET)
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """All rows of a table, of the latest or an earlier version."""
@@ -120,14 +129,14 @@ class BucketStore:
         """Rows in a new folder by bucket; large buckets become several files, small ones share tasks."""
         name = uuid.uuid4().hex
         placed = df.withColumn(BUCKET, bucket_of(key, buckets))
-        placed.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/data/{name}")
-        found = [status.getPath().getName() for status in self._fs.listStatus(self._path(f"{self.path}/data/{name}"))]
+        placed.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/data/{FOLDER}={name}")
+        found = [status.getPath().getName() for status in self._fs.listStatus(self._path(f"{self.path}/data/{FOLDER}={name}"))]
         return name, [int(n.split("=")[1]) for n in found if n.startswith(f"{BUCKET}=")]
 
     def stage_table(self, table: str, df: DataFrame, key: list[str], buckets: int = 64) -> Staged:
         """A new table, or all rows of a known one anew."""
-        if BUCKET in df.columns or set(key) - set(df.columns) or not key:
-            raise ValueError(f"a table needs its key columns and no column {BUCKET}")
+        if {FOLDER, BUCKET} & set(df.columns) or set(key) - set(df.columns) or not key:
+            raise ValueError(f"a table needs its key columns and no column {FOLDER} or {BUCKET}")
         latest = self._manifest()[0]
         name, filled = self._write(df, key, buckets)
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema]).jsonValue()
@@ -180,7 +189,7 @@ class BucketStore:
         for v in known[:-keep]:
             self._fs.delete(self._path(f"{self.path}/versions/{v:012d}.json"), False)
         data = self._path(f"{self.path}/data")
-        stale = [s.getPath() for s in self._fs.listStatus(data) if s.getPath().getName() not in named] if self._fs.exists(data) else []
+        stale = [s.getPath() for s in self._fs.listStatus(data) if s.getPath().getName().removeprefix(f"{FOLDER}=") not in named] if self._fs.exists(data) else []
         for folder in stale:
             self._fs.delete(folder, True)
         return len(stale)
