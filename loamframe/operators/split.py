@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loamframe import codes
 from loamframe.functions import geometry as geo
-from loamframe.operators import cutting, keys
+from loamframe.operators import cutting, keys, skew
 
 _TAKEN = {codes.SPLIT_SOURCE_COLUMN, codes.SPLIT_PART_COLUMN}
 
@@ -66,7 +66,7 @@ def cut_large(df: DataFrame, max_vertices: int = codes.SPLIT_MAX_VERTICES, gid:
                 yield pd.DataFrame([(key, n, piece, reason) for n, piece in enumerate(pieces, start=1)], columns=[gid, part_column, geom, "reason"])
 
     schema = f"`{gid}` {kind}, {part_column} int, `{geom}` {geo.GEOM_TYPE}, reason string"
-    return df.filter(_is_large(geom, max_vertices)).select(gid, geom).repartition(gid).mapInPandas(cut, schema)
+    return skew.over_all_tasks(df.filter(_is_large(geom, max_vertices)).select(gid, geom), gid).mapInPandas(cut, schema)
 
 
 def split_large(df: DataFrame, order: list[str], max_vertices: int = codes.SPLIT_MAX_VERTICES, gid: str = "gid",

@@ -106,3 +106,9 @@ def test_sample_statistics_of_a_field_with_many_classes(spark):
     assert got.keys() == {1, 2} and len(got[1].types) == 300 and got[1].types == sorted(got[1].types)
     assert got[1].n == want.n and abs(got[1].m - want.m) < 1e-12 and abs(got[1].sd - want.sd) < 1e-9
     assert (got[2].n, got[2].m, got[2].sd, got[2].types) == (0, None, None, ["a"])
+
+
+def test_a_clipped_ring_is_worked_out_once(parcels):
+    """Each mention of a ring used to work out the whole clipping again."""
+    text = _plan(parcels.select(overlay.intersection_area(F.col("geom"), F.col("geom")).alias("m")))[0]
+    assert len(text) < 20_000
