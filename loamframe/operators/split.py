@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loamframe import codes
 from loamframe.functions import geometry as geo
 from loamframe.operators import cutting, keys, skew
+from loamframe.session import durable
+
+#: Vertices of pieces handed over together: small polygons are not one batch each, giant ones do not pile up.
+BATCH_VERTICES = 100_000
 
 _TAKEN = {codes.SPLIT_SOURCE_COLUMN, codes.SPLIT_PART_COLUMN}
 
@@ -60,10 +64,17 @@ def cut_large(df: DataFrame, max_vertices: int = codes.SPLIT_MAX_VERTICES, gid:
     kind, part_column = dict(df.dtypes)[gid], codes.SPLIT_PART_COLUMN
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, rows, held = [gid, part_column, geom, "reason"], [], 0
         for pdf in batches:
             for key, shape in zip(pdf[gid], pdf[geom]):
                 pieces, reason = pieces_of(shape, max_vertices, max_depth)
-                yield pd.DataFrame([(key, n, piece, reason) for n, piece in enumerate(pieces, start=1)], columns=[gid, part_column, geom, "reason"])
+                rows += [(key, n, piece, reason) for n, piece in enumerate(pieces, start=1)]
+                held += sum(len(ring["xs"]) for piece in pieces for ring in piece["parts"])
+                if held >= BATCH_VERTICES:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     schema = f"`{gid}` {kind}, {part_column} int, `{geom}` {geo.GEOM_TYPE}, reason string"
     return skew.over_all_tasks(df.filter(_is_large(geom, max_vertices)).select(gid, geom), gid).mapInPandas(cut, schema)
@@ -84,7 +95,8 @@ def split_large(df: DataFrame, order: list[str], max_vertices: int = codes.SPLIT
     joined = df.filter(large).drop(geom).join(pieces, gid).select(*whole.columns)
     marked = whole.unionByName(joined).withColumnRenamed(gid, codes.SPLIT_SOURCE_COLUMN)
     bounded = geo.with_bounds(marked, geom) if "minx" in df.columns else marked
-    return keys.assign_gid(bounded, [*[c for c in order if c != gid], codes.SPLIT_SOURCE_COLUMN, codes.SPLIT_PART_COLUMN], gid)
+    # numbering reads its rows several times: polygons are cut once
+    return keys.assign_gid(durable(bounded), [*[c for c in order if c != gid], codes.SPLIT_SOURCE_COLUMN, codes.SPLIT_PART_COLUMN], gid)
 
 
 def split_report(df: DataFrame, max_vertices: int = codes.SPLIT_MAX_VERTICES, gid: str = "gid", geom: str = "geom",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loamframe.functions import geometry as geo
-from loamframe.operators import ordered, spatial
+from loamframe.operators import ordered, spatial, split
 
 
 def test_neighbours_are_read_by_growing_frames_only(spark):
@@ -27,3 +27,12 @@ def test_distances_that_tie_go_to_the_lower_id(spark):
     features = spatial.as_boxes(spark.createDataFrame(rows, "f long, x double, y double").withColumn("geom", geo.point(F.col("x"), F.col("y"))))
     best = spatial.nearest(at, features, "gid", "f", "x", "y", 2, F.lit(1000.0)).select("f", "rank").collect()
     assert sorted(map(tuple, best)) == [(5, 1), (9, 2)]
+
+
+def test_pieces_are_cut_once_and_then_numbered(spark):
+    """Numbering reads its rows several times; the cutting must not be part of each pass."""
+    x = [float(n) for n in range(10)]
+    ring = geo.polygon(F.array(*map(F.lit, [*x, *reversed(x), 0.0])), F.array(*map(F.lit, [0.0] * 10 + [1.0] * 10 + [0.0])))
+    cut = split.split_large(spark.range(3).select(F.col("id").alias("gid"), ring.alias("geom")), ["gid"], max_vertices=12)
+    assert "MapInPandas" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    assert cut.select("gid").distinct().count() == cut.count() >= 6
