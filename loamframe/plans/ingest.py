@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loamframe.functions import geometry as geo
-from loamframe.operators import catalog as cat, harmonize, keys, query as q, selfcross, split
+from loamframe.operators import catalog as cat, harmonize, keys, query as q, selfcross, skew, split
 from loamframe.session import durable
 from loamframe.sources import files, landed, writers
 
@@ -28,13 +28,15 @@ def harmonise_layer(layer: DataFrame, crs: str | None, target: str = "EPSG:4326"
     if not spatial:
         return keys.ensure_gid(named, order or named.columns), None
     named = named.withColumnRenamed("shape__", "geom").drop("minx", "miny", "maxx", "maxy")
-    named = named.withColumns({"_before": geo.invalid_reasons(F.col("geom")), "geom": geo.repair(F.col("geom"))})
-    moved = named.withColumn("geom", geo.reproject(F.col("geom"), crs, target))
-    judged = moved.withColumn("_reasons", geo.invalid_reasons(F.col("geom")))
-    plain = [c for c, t in judged.dtypes if not t.startswith(("struct", "array", "map")) and not c.startswith("_")]
-    # numbering, self-crossing check and splitting all read these rows: written out once
-    identified = durable(keys.ensure_gid(geo.with_bounds(judged), order or [*plain, *q.BOUNDS]))
-    crossing = selfcross.self_intersecting(identified.filter(F.size("_reasons") == 0), "gid").withColumn("_crosses", F.lit(True))
+    # repair, checks and bounds come out of generators, so that no later step writes them out again, and run in all tasks
+    others = [c for c in named.columns if c != "geom"]
+    mended = F.struct(geo.invalid_reasons(F.col("geom")).alias("_before"), geo.reproject(geo.repair(F.col("geom")), crs, target).alias("geom"))
+    moved = skew.over_all_tasks(named, F.xxhash64("geom")).select(*others, F.inline(F.array(mended)))
+    judged = moved.select("*", geo.invalid_reasons(F.col("geom")).alias("_reasons"), F.inline(F.array(geo.bounds(F.col("geom")))))
+    plain = [c for c, t in moved.dtypes if not t.startswith(("struct", "array", "map")) and not c.startswith("_")]
+    # numbering reads its rows several times, as do the self-crossing check and splitting after it: each written out once
+    identified = durable(keys.ensure_gid(durable(judged), order or [*plain, *q.BOUNDS]))
+    crossing = durable(selfcross.self_intersecting(identified.filter(F.size("_reasons") == 0), "gid")).withColumn("_crosses", F.lit(True))
     marked = identified.join(crossing, "gid", "left").withColumn(
         "_reasons", F.when(F.col("_crosses"), F.array(F.lit("self_intersection"))).otherwise(F.col("_reasons"))).drop("_crosses")
     rejected = marked.filter(F.size("_reasons") > 0).select("gid", F.concat("_reasons", "_before").alias("reasons"))
