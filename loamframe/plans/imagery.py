@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loamframe.functions import indices
 from loamframe.operators import pixels as px, reports, requests as rq, spatial
+from loamframe.session import durable
 from loamframe.sources import landed
 
 
@@ -54,8 +55,9 @@ def bare_soil_features(fields: DataFrame, pixels: DataFrame, scenes: DataFrame,
     rows = pixels.join(chosen, "scene_id")
     located = spatial.spatial_join(fields, rows, field_id, "pixel_id", [], [c for c in ("Image_ID", *BANDS) if c in rows.columns])
     indexed = px.snow_mask(indices.with_indices(located))
-    features = px.field_features(indexed, field_id, "Image_ID", static)
-    stats = spatial.field_sample_stats(fields, samples, soils, field_id)
+    # written out: the plan of either is large, and both are small
+    features = durable(px.field_features(indexed, field_id, "Image_ID", static))
+    stats = durable(spatial.field_sample_stats(fields, samples, soils, field_id))
     labelled = features.join(stats.select(
         field_id, F.col("m").alias("mean_SOM"), F.col("sd").alias("stdDev_SOM"), F.col("n").alias("sampleCount"),
         F.concat(F.lit("["), F.array_join("types", ", "), F.lit("]")).alias("soilTypes")), field_id)
