@@ -100,10 +100,10 @@ def cells_of_requests(requests: DataFrame, grid_cells: DataFrame, grid_keys: lis
         (F.col("lon") + band).alias("minx"), F.col("lat").alias("miny"), (F.col("lon") + band).alias("maxx"), F.col("lat").alias("maxy"))
     edge = 1e-6  # the band may shift a bound by less; the bounds themselves decide below
     boxes = requests.filter(~is_point).select(
-        who, "polygon", F.struct("minx", "miny", "maxx", "maxy").alias("_box"),
+        who, "polygon", *[F.col(c).alias(f"_own_{c}") for c in ("minx", "maxx")],  # flat: Spark may lose fields of a struct here
         (F.col("minx") + band - edge).alias("minx"), F.col("miny"), (F.col("maxx") + band + edge).alias("maxx"), F.col("maxy"))
-    pairs = spatial.bbox_join(centres, boxes, "_cell_id", "_who", keep_left=["i", "j", "lat", "lon"], keep_right=["polygon", "_box"])
-    inside = F.col("lon").between(F.col("_box.minx"), F.col("_box.maxx")) & (
+    pairs = spatial.bbox_join(centres, boxes, "_cell_id", "_who", keep_left=["i", "j", "lat", "lon"], keep_right=["polygon", "_own_minx", "_own_maxx"])
+    inside = F.col("lon").between(F.col("_own_minx"), F.col("_own_maxx")) & (
         F.col("polygon").isNull() | geo.contains_point(F.col("polygon"), F.col("lon"), F.col("lat")))
     covered = pairs.filter(inside).select("_who.*", "i", "j")
     points = requests.filter(is_point).select(who, (F.col("minx") + band).alias("x"), F.col("miny").alias("y"))
@@ -164,13 +164,19 @@ def timeseries(grid: DataFrame, requests: DataFrame, registry: DataFrame, aggreg
     keys = ["dataset", "variable"] + [c for c in ("scenario", "model") if c in grid.columns and c in requests.columns]
     # written out, so Spark knows its true size and broadcasts it only when it is small
     wanted = durable(asked.select("request_id", *keys, "start_date", "end_date").join(cell_list, ["request_id", *grid_keys]))
-    values = prune_grid(grid, wanted).join(wanted, [*keys, "i", "j"]).filter(
+    # a cell's rows of one time are summed before they meet requests, so no row of the grid is copied to each request
+    number = finite(F.col("value"))
+    sums = durable(prune_grid(grid, wanted).groupBy(*keys, "i", "j", "time").agg(F.sum(number).alias("_s"), F.count(number).alias("_n")))
+    met = sums.join(wanted, [*keys, "i", "j"]).filter(
         F.col("time").between(F.col("start_date").cast("date"), F.col("end_date").cast("date"))
     )
     series_keys = ["request_id", *keys]
+    mean = F.try_divide(F.sum("_s"), F.sum("_n")).alias("value")
     if aggregation == "monthly":
-        values = monthly_mean(values, [*series_keys, "i", "j"])
-    means = spatial_mean(values, series_keys)
+        monthly = met.groupBy(*series_keys, "i", "j", F.last_day("time").alias("time")).agg(mean)
+        means = spatial_mean(monthly, series_keys)
+    else:
+        means = met.groupBy(*series_keys, "time").agg(mean)
     named = means.join(F.broadcast(registry), ["dataset", "variable"])
     return named.select(
         "request_id", "dataset", "variable", "time",
