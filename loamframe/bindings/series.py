@@ -400,12 +400,17 @@ def _station_requests(spark, sf_dir):
         F.lit("2024-01-03").alias("start_date"), F.lit("2024-01-20").alias("end_date"))
 
 
-def station_request_hits(spark, sf_dir):
+def _station_tables(spark, sf_dir):
+    """Requests, items, collections and farm shapes of the station queries."""
     items = observations(spark, sf_dir).join(stations(spark, sf_dir), "station_id").withColumn(
         "collection", F.explode(F.array(F.lit("swob-realtime"), F.lit("climate-daily"))))
     words = lambda *v: F.array(*[F.lit(w) for w in v])
     known = spark.range(1).select(F.explode(words("swob-realtime", "climate-daily")).alias("collection"), words("click", "view", "purchase").alias("variables"))
-    return weather.station_observations(_station_requests(spark, sf_dir), items, known, _farm_shapes(spark, sf_dir))
+    return _station_requests(spark, sf_dir), items, known, _farm_shapes(spark, sf_dir)
+
+
+def station_request_hits(spark, sf_dir):
+    return weather.station_observations(*_station_tables(spark, sf_dir))
 
 
 _HITS = f"""{OBSERVATIONS}, {STATIONS}, {PARCELS}, b AS (SELECT gid AS request_id, (minx + maxx) / 2 AS cx, (miny + maxy) / 2 AS cy FROM parcels WHERE gid % 7 <> 6),
@@ -422,5 +427,5 @@ def station_observations(spark, sf_dir):
 
 @query(f"""WITH {_HITS} SELECT request_id || ':' || station_id AS site, CAST(count(DISTINCT time) AS INTEGER) AS n FROM hits WHERE collection = 'swob-realtime' GROUP BY 1""")
 def station_arrays(spark, sf_dir):
-    packed = weather.station_arrays(station_request_hits(spark, sf_dir), ["click", "view"], "swob-realtime")
+    packed = weather.station_request_arrays(*_station_tables(spark, sf_dir), ["click", "view"], "swob-realtime")
     return packed.select("site", F.size("time").alias("n"))
