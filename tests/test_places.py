@@ -63,3 +63,22 @@ def test_tasks_are_told_by_pairs_where_entries_are_few(spark, monkeypatch):
     assert spatial.bbox_join(a, b, "a", "b").rdd.getNumPartitions() == 90
     salted = spatial.bbox_join(a, b, "a", "b", hot_rows=100, broadcast_bytes=0)
     assert salted.count() == 90_000 and salted.rdd.getNumPartitions() == 90
+
+
+def test_no_task_writes_all_entries_of_a_join(spark, monkeypatch):
+    """A layer read from one small file: its cell entries are written by many tasks, and the pairs stay the same."""
+    rows = [(n, n % 40 / 10.0, n // 40 / 10.0) for n in range(800)]
+    boxes = spark.createDataFrame(rows, "soil_id long, minx double, miny double").coalesce(1)
+    boxes = boxes.withColumns({"maxx": F.col("minx") + 0.15, "maxy": F.col("miny") + 0.15})
+    boxes = boxes.withColumn("geom", geo.rectangle(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]))
+    want = set(map(tuple, spatial.overlapping_pairs(boxes, "soil_id").collect()))
+    seen, join, plain = [], spatial.skew.salted_join, spatial.bbox_join
+
+    def watched(left, right, *args, **settings):
+        seen.extend([left.rdd.getNumPartitions(), right.rdd.getNumPartitions()])
+        return join(left, right, *args, **settings)
+
+    monkeypatch.setattr(spatial.skew, "salted_join", watched)
+    monkeypatch.setattr(spatial, "bbox_join", lambda *args, **settings: plain(*args, **settings, hot_rows=100, broadcast_bytes=0))
+    assert set(map(tuple, spatial.overlapping_pairs(boxes, "soil_id").collect())) == want and len(want) > 800
+    assert len(seen) == 2 and min(seen) > 1
