@@ -147,3 +147,18 @@ def test_catalogue_item_found(spark):
     df = spark.createDataFrame([("i1", "c", "2024-06-15 12:00:00", -73.5, 45.5, -73.4, 45.6)], "id string, collection string, datetime string, minx double, miny double, maxx double, maxy double").withColumn("datetime", F.to_timestamp("datetime"))
     assert catalog.catalog_search(df, ["c"], (-74, 45, -73, 46), "2024-01-01", "2024-12-31").count() == 1
     assert catalog.catalog_search(df, ["c"], (0, 0, 1, 1)).count() == 0
+
+
+def test_components_are_dealt_by_rows(spark):
+    """Tasks of the join are told by the number of rows, on both ways with the same rows as the plain join."""
+    n = spark.sparkContext.defaultParallelism + 3
+    components = spark.range(40 * n).select((F.col("id") % 50).cast("string").alias("code_polygone"), (F.col("id") % 30).cast("string").alias("composante"), F.col("id").cast("double").alias("pourcentage"))
+    hydro = spark.range(20).select(F.col("id").cast("string").alias("composante"), F.lit("A").alias("groupe_hydrologique"))
+    wanted = spark.range(25).select(F.col("id").cast("string").alias("code"))
+    listed = lambda df: sorted(map(tuple, df.select(*components.columns, "groupe_hydrologique").collect()), key=str)
+    for codes in (None, wanted, ["1", "2"]):
+        plain = soil.components_with_hydro(components, hydro, codes)
+        dealt = soil.components_with_hydro(components, hydro, codes, task_rows=40)
+        assert listed(dealt) == listed(plain)
+        assert "hashpartitioning(composante#" in dealt._jdf.queryExecution().executedPlan().toString()
+        assert f", {n}), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
