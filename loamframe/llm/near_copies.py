@@ -1,6 +1,8 @@
-"""Near copies by word shingles: MinHash bands nominate pairs, the exact Jaccard coefficient of the shingle sets decides.
+"""Near copies by word shingles: SimHash and MinHash nominate pairs, the exact Jaccard coefficient of the shingle sets decides.
 
-Texts with equal sets are one node.  A set has ``BANDS`` keys of ``ROWS`` minima each: two sets of coefficient J share one with
+Texts with equal sets are one node.  Sets whose 64-bit SimHash fingerprints differ in at most two bits are found by deletion-variant
+signatures (``simhash.link_fingerprints``).  At a coefficient of 0.8 fingerprints differ in more bits than such signatures tell from
+chance, so MinHash nominates what lies beyond: a set has ``BANDS`` keys of ``ROWS`` minima each: two sets of coefficient J share one with
 1 - (1 - J ** ROWS) ** BANDS, that is 0.9993 at 0.8.  All pairs that share a key are judged:
 
 * keys of up to ``PAIRWISE`` sets give their pairs; a sketch of the minima (one byte each) drops those that are far below the
@@ -24,6 +26,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType
 from loamframe.llm.common import byte_slices, durable, passed_on, small_batches
 from loamframe.llm.common_lines import filter_bits, filters_of, hit, merged_filter
 from loamframe.llm.components import components
+from loamframe.llm.simhash import link_fingerprints
 
 BANDS, ROWS, PAIRWISE, CENTRES, TILE = 24, 6, 32, 4, 1024
 KEYS = ["_id", "_k1", "_k2"]
@@ -43,6 +46,17 @@ def shingle_set(text: bytes, shingle: int = 5, seed: int = 42):
     return np.unique(np.fromiter(map(xxh64_intdigest, runs, repeat(seed)), dtype="<u8"))
 
 
+def set_fingerprint(hashes) -> int:
+    """SimHash of a shingle set: bits set in over half its hashes; 0 without shingles."""
+    import numpy as np
+
+    ones = np.zeros(64, dtype=np.int64)
+    for start in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[start : start + (1 << 16)])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return sum(1 << int(k) for k in np.flatnonzero(2 * ones > len(hashes)))
+
+
 def keyed(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """``df`` with what a row is known by: ``_id`` and two hashes of its text."""
     full = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -50,7 +64,7 @@ def keyed(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def with_bands(rows: DataFrame, shingle: int = 5) -> DataFrame:
-    """The keys of ``rows`` with ``_set`` (a hash of the shingle set), ``_bands`` (its keys) and ``_sketch``."""
+    """The keys of ``rows`` with ``_set`` (a hash of the shingle set), ``_fp`` (its SimHash), ``_bands`` (its MinHash keys) and ``_sketch``."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -61,10 +75,11 @@ def with_bands(rows: DataFrame, shingle: int = 5) -> DataFrame:
         times = (rnd.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
         plus = rnd.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
         for batch in byte_slices(batches, "_text"):
-            sets, keys, sketches = [], [], []
+            sets, prints, keys, sketches = [], [], [], []
             for t in batch.column("_text").to_pylist():
                 own = shingle_set((t or "").encode(), shingle)
                 sets.append(xxh64_intdigest(own.tobytes(), 1))
+                prints.append(set_fingerprint(own))
                 short, least = (own >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, (1 << 32) - 1, dtype=np.uint32)
                 for at in range(0, len(short), 512):
                     np.minimum(least, (short[at : at + 512, None] * times + plus).min(axis=0), out=least)
@@ -72,11 +87,22 @@ def with_bands(rows: DataFrame, shingle: int = 5) -> DataFrame:
                 sketches.append((least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes())
             as_longs = lambda v: pa.array(np.array(v, dtype="<u8").view("<i8"))
             ends = pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), as_longs(sets), pa.ListArray.from_arrays(ends, as_longs(keys)),
-                                              pa.array(sketches, pa.binary())], names=[*KEYS, "_set", "_bands", "_sketch"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), as_longs(sets), as_longs(prints),
+                                              pa.ListArray.from_arrays(ends, as_longs(keys)), pa.array(sketches, pa.binary())],
+                                             names=[*KEYS, "_set", "_fp", "_bands", "_sketch"])
 
     rows = rows.select(*KEYS, "_text")
-    return rows.mapInArrow(compute, rows.drop("_text").schema.add("_set", "long").add("_bands", ArrayType(LongType())).add("_sketch", BinaryType()))
+    return rows.mapInArrow(compute, rows.drop("_text").schema.add("_set", "long").add("_fp", "long").add("_bands", ArrayType(LongType())).add("_sketch", BinaryType()))
+
+
+def close_prints(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect the ``sets`` (node, fp) whose fingerprints differ in at most two bits."""
+    firsts = durable(sets.groupBy("fp").agg(F.min("node").alias("rep")))
+    equal = sets.join(firsts.hint("merge"), "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    links = link_fingerprints(firsts.select("fp"))
+    links = links.join(firsts.select(F.col("fp").alias("a"), F.col("rep").alias("u")).hint("merge"), "a")
+    links = links.join(firsts.select(F.col("fp").alias("b"), F.col("rep").alias("v")).hint("merge"), "b")
+    return equal.unionByName(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
 
 
 def in_sketch(least: float) -> int:
@@ -242,10 +268,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     """
     small_batches(df.sparkSession)
     rows = keyed(df.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")), id_col, text).select(*KEYS, "_text")
-    base = durable(with_bands(rows, shingle).groupBy(*KEYS, "_set").agg(F.count("*").alias("rows"), F.first("_bands").alias("bands"), F.first("_sketch").alias("sketch")))
+    base = durable(with_bands(rows, shingle).groupBy(*KEYS, "_set").agg(F.count("*").alias("rows"), F.first("_fp").alias("fp"),
+                                                                       F.first("_bands").alias("bands"), F.first("_sketch").alias("sketch")))
     order = F.struct(F.col("_id").isNull().alias("none"), *KEYS)
     # the first row of each set: smallest id, null ids last
-    first = durable(base.groupBy(F.col("_set").alias("node")).agg(F.min(order).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    first = durable(base.groupBy(F.col("_set").alias("node")).agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     index = first.select("node", F.explode("bands").alias("key"))
     centres = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(CENTRES)]))
     groups = durable(index.groupBy("key").agg(F.count("*").alias("n"), centres.alias("centres")).where("n > 1"))
@@ -254,7 +281,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
     many = members.where(F.col("n") > PAIRWISE)
     stars = many.select(F.col("node").alias("u"), F.explode("centres").alias("v")).where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    pairs = durable(likely(pairs.unionByName(stars).distinct(), first.select("node", "sketch"), least))
+    close = close_prints(first.select("node", "fp"))
+    pairs = durable(likely(pairs.unionByName(stars).unionByName(close).distinct(), first.select("node", "sketch"), least))
 
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")).distinct()
     wanted = durable(first.join(nodes, "node").select("node", *[F.col(f"first.{c}").alias(c) for c in KEYS]))

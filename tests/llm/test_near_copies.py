@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_passages import classes
 
 import corpus_pipeline
@@ -124,3 +125,19 @@ def test_connecting_links_keep_classes():
         full = classes(n + m, [(i, n + j) for i in range(n) for j in range(m) if linked[i, j]])
         same = lambda c: [[x == y for y in c] for x in c]
         assert same(own) == same(full) and len(across) + len(along) <= n + m
+
+
+def test_fingerprints_nominate_on_their_own(spark, monkeypatch):
+    """Long texts with one word changed are found by SimHash alone; those far apart are judged by the exact coefficient."""
+    rnd, plain = random.Random(8), near_copies.with_bands
+    texts = []
+    for _ in range(12):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(3000)]
+        texts += [" ".join(words), " ".join([*words[:1500], "changed", *words[1501:]])]
+    rows = list(enumerate(texts))
+    prints = [near_copies.set_fingerprint(near_copies.shingle_set(t.encode())) for t in texts]
+    close = [n for n in range(0, 24, 2) if (prints[n] ^ prints[n + 1]).bit_count() <= 2]
+    no_keys = lambda *args: plain(*args).withColumn("_bands", F.array("_set"))
+    monkeypatch.setattr(near_copies, "with_bands", no_keys)
+    got = {r["doc_id"] for r in near_copies.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(close) > 6 and got == set(range(24)) - {n + 1 for n in close}
