@@ -209,20 +209,21 @@ def asset_union(spark, sf_dir):
 UNION ALL SELECT p.gid, 'ombre', 'https://t/' || f.gid || '/o' FROM parcels p JOIN farms f ON x <= maxx AND x + 0.2::DOUBLE >= minx AND y <= maxy AND y + 0.2::DOUBLE >= miny WHERE f.gid % 2 = 0)
 SELECT request_id, product, url FROM u""")
 def tile_index_lookup(spark, sf_dir):
-    return _tiles(spark, sf_dir).select("request_id", "product", "url")
+    return landed.tile_index_lookup(*_tiles(spark, sf_dir)).select("request_id", "product", "url")
 
 
 def _tiles(spark, sf_dir):
+    """Tiles, requests and products."""
     path = lambda tail: F.concat(F.lit("https://t/"), F.col("gid").cast("string"), F.lit(tail))
     tiles = farms(spark, sf_dir).select(F.col("gid").alias("tile_id"), "minx", "miny", (F.col("x") + F.lit(0.2)).alias("maxx"), (F.col("y") + F.lit(0.2)).alias("maxy"),
                                         path("/mnt").alias("mnt"), F.when(F.col("gid") % 2 == 0, path("/o")).alias("ombre"))
-    return landed.tile_index_lookup(tiles, parcels(spark, sf_dir).withColumnRenamed("gid", "request_id"), ["mnt", "ombre"])
+    return tiles, parcels(spark, sf_dir).withColumnRenamed("gid", "request_id"), ["mnt", "ombre"]
 
 
 @query(f"""WITH {FARMS}, {PARCELS} SELECT p.gid AS request_id, 'mnt' AS product, 0 AS chunk, string_agg('https://t/' || f.gid || '/mnt', ' ' ORDER BY f.gid) AS urls FROM parcels p JOIN farms f ON x <= maxx AND x + 0.2::DOUBLE >= minx AND y <= maxy AND y + 0.2::DOUBLE >= miny GROUP BY 1
 UNION ALL SELECT p.gid, 'ombre', 0, string_agg('https://t/' || f.gid || '/o', ' ' ORDER BY f.gid) FROM parcels p JOIN farms f ON x <= maxx AND x + 0.2::DOUBLE >= minx AND y <= maxy AND y + 0.2::DOUBLE >= miny WHERE f.gid % 2 = 0 GROUP BY 1""")
 def tile_url_lists(spark, sf_dir):
-    packed = landed.tile_urls(_tiles(spark, sf_dir))
+    packed = landed.tile_url_lists(*_tiles(spark, sf_dir))
     return packed.select("request_id", "product", "chunk", F.array_join("url", " ").alias("urls"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loamframe import codes
 from loamframe.functions import geometry as geo
 from loamframe.operators import ordered
+from loamframe.session import durable
 
 
 def read_grid(grid: DataFrame, dataset: str, variables: list[str]) -> DataFrame:
@@ -70,6 +71,61 @@ def tile_urls(urls: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
     return ordered.series_arrays(urls, ["request_id", "product"], [F.col("tile_id"), F.col("url")], ["url"], chunk_rows)
 
 
+#: Most tiles of a cell that are held as one list, requests of a task, and requests that share one copy of a cell.
+CELL_TILES, TASK_REQUESTS, CELL_REQUESTS = 100_000, 500, 256
+
+
+def tile_url_lists(tiles: DataFrame, requests: DataFrame, products: list[str], chunk_rows: int = 10_000, cell_tiles: int = CELL_TILES) -> DataFrame:
+    """``tile_urls`` of ``tile_index_lookup``: (request_id, product, chunk, url) with pairs neither shuffled nor sorted.
+
+    A request goes to the cell of its lower-left corner, a tile to every cell from which a request may reach it.  The tiles of a
+    cell are put in order once, and each request picks its own out of that list.  Requests whose cell holds more than
+    ``cell_tiles`` tiles, and request ids that occur more than once, go through the pairs.
+    """
+    from loamframe.operators import skew, spatial
+
+    box = [f"_a_{c}" for c in spatial.BOX]
+    asked = spatial._side(requests, "a", "request_id", [], spatial.FINEST_CELL)
+    levels = [r["_level"] for r in asked.select("_level").distinct().collect()]
+    # dealt over all cores first: a small file would write all entries in one task
+    of_tiles = spatial._side(skew.over_all_tasks(tiles, "tile_id"), "b", "tile_id", products, spatial.FINEST_CELL)
+    widest = of_tiles.agg(F.max("_level")).first()[0]
+    if not levels or widest is None:
+        return tile_urls(tile_index_lookup(tiles, requests, products), chunk_rows)
+    # cells no narrower than the widest tile: a tile goes to a few cells of each level
+    level = F.greatest("_level", F.lit(widest))
+    size = F.pow(F.lit(2.0), level)
+    cell = lambda value, width: F.floor(value / width).cast("long")
+    placed = asked.withColumns({"_grid": level, "_cx": cell(F.col("_a_minx"), size), "_cy": cell(F.col("_a_miny"), size)}).drop("_level")
+    urls = of_tiles.drop("_level").unpivot(["tile_id", *[f"_b_{c}" for c in spatial.BOX]], products, "product", "url")
+    grids = F.array(*[F.lit(n) for n in sorted({max(n, widest) for n in levels})])
+    urls = urls.filter(F.col("url").isNotNull() & (F.col("url") != "")).withColumn("_grid", F.explode(grids))
+    width = F.pow(F.lit(2.0), F.col("_grid"))
+    reach = lambda low, high: F.explode(F.sequence(cell(F.col(low), width) - 1, cell(F.col(high), width)))
+    entries = urls.withColumn("_cx", reach("_b_minx", "_b_maxx")).withColumn("_cy", reach("_b_miny", "_b_maxy"))
+    on = ["_grid", "_cx", "_cy"]
+    full = durable(entries.groupBy(*on, "product").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cell_tiles).select(*on).distinct())
+    twice = requests.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("request_id")
+    marked = durable(placed.join(twice.withColumn("_twice", F.lit(True)), "request_id", "left").join(full.withColumn("_full", F.lit(True)), on, "left"))
+    # a request of exactly a cell's width may be longer by rounding
+    within = (cell(F.col("_a_maxx"), F.pow(F.lit(2.0), "_grid")) <= F.col("_cx") + 1) & (cell(F.col("_a_maxy"), F.pow(F.lit(2.0), "_grid")) <= F.col("_cy") + 1)
+    plain = F.col("_twice").isNull() & F.col("_full").isNull() & within
+    rest = marked.filter(~plain).select("request_id", *[F.col(a).alias(c) for a, c in zip(box, spatial.BOX)])
+
+    tile = F.struct("tile_id", "url", *[f"_b_{c}" for c in spatial.BOX])
+    lists = entries.join(full, on, "left_anti").groupBy(*on, "product").agg(F.array_sort(F.collect_list(tile)).alias("_tiles"))
+    few = marked.filter(plain).select("request_id", *box, *on)
+    tasks = max(tiles.sparkSession.sparkContext.defaultParallelism, min(spatial.MOST_TASKS, -(-few.count() // TASK_REQUESTS)))
+    met = skew.salted_join(few, durable(lists), on, F.xxhash64("request_id"), hot_rows=CELL_REQUESTS, tasks=tasks)
+    hit = F.filter("_tiles", lambda t: (t["_b_minx"] <= F.col("_a_maxx")) & (t["_b_maxx"] >= F.col("_a_minx"))
+                   & (t["_b_miny"] <= F.col("_a_maxy")) & (t["_b_maxy"] >= F.col("_a_miny")))
+    found = met.select("request_id", "product", F.explode(F.array(F.transform(hit, lambda t: t["url"]))).alias("_urls"))  # exploded: worked out once, not at each use
+    chunks = F.sequence(F.lit(0), F.floor((F.size("_urls") - 1) / chunk_rows).cast("int"))
+    listed = found.filter(F.size("_urls") > 0).withColumn("chunk", F.explode(chunks))
+    listed = listed.select("request_id", "product", "chunk", F.slice("_urls", F.col("chunk") * chunk_rows + 1, chunk_rows).alias("url"))
+    return listed if rest.isEmpty() else listed.unionByName(tile_urls(tile_index_lookup(tiles, rest, products), chunk_rows))
+
+
 def load_scenes(pixels: DataFrame, scenes: DataFrame, box, start, end, bands: list[str],
                 max_cloud: float | None = None) -> DataFrame:
     """Pixels of the scenes that pass the cloud and time filters, inside a box, some bands only."""
