@@ -88,7 +88,7 @@ def tile_url_lists(tiles: DataFrame, requests: DataFrame, products: list[str], c
     asked = spatial._side(requests, "a", "request_id", [], spatial.FINEST_CELL)
     levels = [r["_level"] for r in asked.select("_level").distinct().collect()]
     # dealt over all cores first: a small file would write all entries in one task
-    of_tiles = spatial._side(skew.over_all_tasks(tiles, "tile_id"), "b", "tile_id", products, spatial.FINEST_CELL)
+    of_tiles = spatial._side(tiles.repartition(tiles.sparkSession.sparkContext.defaultParallelism, "tile_id"), "b", "tile_id", products, spatial.FINEST_CELL)
     widest = of_tiles.agg(F.max("_level")).first()[0]
     if not levels or widest is None:
         return tile_urls(tile_index_lookup(tiles, requests, products), chunk_rows)
