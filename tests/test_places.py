@@ -82,3 +82,20 @@ def test_no_task_writes_all_entries_of_a_join(spark, monkeypatch):
     monkeypatch.setattr(spatial, "bbox_join", lambda *args, **settings: plain(*args, **settings, hot_rows=100, broadcast_bytes=0))
     assert set(map(tuple, spatial.overlapping_pairs(boxes, "soil_id").collect())) == want and len(want) > 800
     assert len(seen) == 2 and min(seen) > 1
+
+
+def test_a_layer_that_meets_itself_is_shuffled_once(spark, monkeypatch):
+    """Boxes of several levels; both sides of the join read the same exchange, and a crowded cell takes the salted way to the same pairs."""
+    monkeypatch.setattr(spatial, "SELF_ROWS", 0)
+    rows = [(n, n % 17 * 0.7, n % 13 * 0.9, (0.1, 0.6, 3.0)[n % 3]) for n in range(400)] + [(900, -5.0, -5.0, 40.0), (901, 50.0, 50.0, 0.0), (902, 50.0, 50.0, 0.0)]
+    boxes = spark.createDataFrame(rows, "soil_id long, x double, y double, w double")
+    boxes = geo.with_bounds(boxes.select("soil_id", geo.rectangle(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("w")).alias("geom")))
+    want = {(a[0], b[0]) for a in rows for b in rows
+            if a[0] != b[0] and a[1] <= b[1] + b[3] and b[1] <= a[1] + a[3] and a[2] <= b[2] + b[3] and b[2] <= a[2] + a[3]}
+    pairs = spatial.overlapping_pairs(boxes, "soil_id")
+    got = [tuple(r) for r in pairs.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
+    assert spatial._self_join(spatial.with_box(boxes, "geom"), "soil_id", [], hot_rows=20) is None
+    monkeypatch.setattr(spatial, "SELF_ROWS", 1_000_000)
+    assert spatial._self_join(spatial.with_box(boxes, "geom"), "soil_id", []) is None
