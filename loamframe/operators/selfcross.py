@@ -32,7 +32,8 @@ def in_cells(edges: DataFrame, cell: float | None = None) -> DataFrame:
         mean = edges.groupBy("_own").agg(F.avg(length).alias("_mean"))
         # a power of two: cell borders are exact
         step = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest("_mean", F.lit(1e-12)))))
-        stepped = edges.join(mean, "_own").withColumn("_step", step).drop("_mean")
+        # asked for by name: Spark takes exploded rows for no larger than the rows that they come from, and would broadcast them
+        stepped = edges.join(mean.hint("merge"), "_own").withColumn("_step", step).drop("_mean")
     low, high = F.least("x1", "x2"), F.greatest("x1", "x2")
     column = lambda c: F.floor(c / F.col("_step")).cast("long")
     columns = stepped.withColumn("_cx", F.explode(F.sequence(column(low), column(high))))
@@ -103,7 +104,7 @@ def self_intersecting(df: DataFrame, identity: str, geom: str = "geom", cell: fl
     key = ["_own", "_cx", "_cy"]
     a = edges.select(*key, F.struct("_ring", "_e").alias("ea"), F.col("_n").alias("na"), *[F.col(c).alias(f"a{c}") for c in _ENDS])
     b = edges.select(*key, F.struct("_ring", "_e").alias("eb"), *[F.col(c).alias(f"b{c}") for c in _ENDS])
-    met = a.join(b, key).filter(F.col("ea") < F.col("eb"))
+    met = a.join(b.hint("merge"), key).filter(F.col("ea") < F.col("eb"))  # not a broadcast of all edges, as in in_cells
     gap, same_ring = F.col("eb._e") - F.col("ea._e"), F.col("ea._ring") == F.col("eb._ring")
     neighbours = same_ring & ((gap == 1) | (gap == F.col("na") - 1))
     # neighbours share their common end, but must not run back over each other; other edges of a ring share nothing
